@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import langid, mixing, packing, warc
+from . import langid, mixing, packing, suffixes, warc
 from .shared import save
 
 
@@ -28,6 +28,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return save(out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return suffixes.removal(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.WEIGHTS, seed=mixing.SEED)
 
@@ -36,6 +41,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
     "op7_language": op7_language,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
 }
 
