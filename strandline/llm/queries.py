@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import langid, mixing, packing, suffixes, warc
+from . import langid, mixing, neardup, packing, suffixes, warc
 from .shared import save
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return packing.pack(table(spark, sf_dir, "documents")).drop("loss_tokens")
@@ -38,6 +43,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
     "op7_language": op7_language,
