@@ -2,7 +2,7 @@
 
 Headers (key, digest, length) are shuffled by payload digest; the record with the largest key of each
 digest is the response, the others revisit it. Only then do payloads move: the writer puts each response's
-payload into an archive once, and a revisit gets a header alone. Archives are plain `.warc` files that
+payload into an archive once, and a revisit gets a header alone. Archives are WARC files under gzip that
 Spark's text writer makes (its line separator is the last byte of a record's end), so they may lie in any
 store and a lost task leaves no half file. `read_archives` parses whole files by Content-Length.
 """
@@ -10,6 +10,7 @@ store and a lost task leaves no half file. `read_archives` parses whole files by
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -56,7 +57,7 @@ def _record_id(page: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), *[F.concat(F.substring(h, a, n), F.lit(end)) for a, n, end in ((1, 8, "-"), (9, 4, "-"), (13, 4, "-"), (17, 4, "-"), (21, 12, ">"))])
 
 
-def write_archives(pages: DataFrame, path: str, payload: str = "html", key: str = "page_id", uri: str = "url", min_bytes: int = 0, file_bytes: int = 16_000_000, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, payload: str = "html", key: str = "page_id", uri: str = "url", min_bytes: int = 0, file_bytes: int = 4_000_000, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write a record for each row, in archives of about `file_bytes`; a null payload is empty."""
     clean = F.regexp_replace(F.coalesce(F.col(uri), F.lit("")), r"[\r\n]", " ")
     body = F.coalesce(F.col(payload), F.lit(""))
@@ -65,8 +66,8 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", key: str
     keyed = rows.withColumns({"payload_digest": digest, "payload_bytes": F.octet_length("body").cast("long")})
     headers = save(resolve_revisits(keyed.select("page_id", "uri", "payload_digest", "payload_bytes"), min_bytes))
     revisit = headers.where("record_type = 'revisit'")
-    total = keyed.agg(F.sum("payload_bytes")).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
+    mean = headers.agg(F.avg("payload_bytes")).first()[0] or 0
+    records = max(1, int(file_bytes // (mean + 500)))
 
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     page_line = F.when(F.col("page_id").isNull(), F.lit("")).otherwise(line("X-Page-Id", F.col("page_id").cast("string")))
@@ -84,11 +85,13 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", key: str
     full = responses.select(record("response", F.col("payload_bytes"), F.lit(""), F.col("body")).alias("value"))
     refers = F.concat(line("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("payload_digest"))), line("WARC-Profile", F.lit(REVISIT_PROFILE)))
     bare = revisit.select(record("revisit", F.lit(0), refers, F.lit("")).alias("value"))
-    full.unionByName(bare).repartition(files).write.option("lineSep", "\n").text(path)
+    writer = full.unionByName(bare).write.option("lineSep", "\n").option("maxRecordsPerFile", records)
+    writer.option("compression", "gzip").text(path)
 
 
-def parse(content: bytes) -> Iterator[tuple]:
+def parse(content: bytes, with_payload: bool = True) -> Iterator[tuple]:
     """Records of one archive, by their Content-Length; a payload that does not give its digest is an error."""
+    view = memoryview(content)
     at = 0
     while at < len(content):
         end = content.index(b"\r\n\r\n", at)
@@ -97,7 +100,7 @@ def parse(content: bytes) -> Iterator[tuple]:
             raise ValueError(f"no record at byte {at}")
         head = dict(x.split(": ", 1) for x in lines[1:])
         n = int(head["Content-Length"])
-        block = content[end + 4 : end + 4 + n]
+        block = view[end + 4 : end + 4 + n]
         if content[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} does not end")
         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -105,7 +108,7 @@ def parse(content: bytes) -> Iterator[tuple]:
         if kind == "response" and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
             raise ValueError(f"wrong digest at byte {at}")
         page = head.get("X-Page-Id")
-        yield (head["WARC-Record-ID"], None if page is None else int(page), head["WARC-Target-URI"], kind, digest, n if kind == "response" else None, head.get("WARC-Refers-To"), block if kind == "response" else None)
+        yield (head["WARC-Record-ID"], None if page is None else int(page), head["WARC-Target-URI"], kind, digest, n if kind == "response" else None, head.get("WARC-Refers-To"), bytes(block) if with_payload and kind == "response" else None)
         at = end + 8 + n
 
 
@@ -116,9 +119,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for content in pdf["content"]:
-                out = pd.DataFrame(list(parse(content)), columns=names)
+                out = pd.DataFrame(list(parse(gzip.decompress(content), with_payload)), columns=names)
                 out[["page_id", "payload_bytes"]] = out[["page_id", "payload_bytes"]].astype("Int64")
-                yield out if with_payload else out.assign(payload=None)
+                yield out
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")
     return save(files.mapInPandas(run, RECORD), 1)
