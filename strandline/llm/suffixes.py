@@ -9,11 +9,14 @@ would move `width` bytes for each byte of text, so suffixes travel in runs, foun
 2. Runs. For anchors that occur elsewhere, the windows that share the anchor travel as one run of bytes.
    Equal runs are merged with their count: all their windows repeat.
 
-Distinct runs are range-partitioned by leading tokens (the head of the anchor, then its hash, then the
-run's id, so that one very common anchor is spread over many buckets), with splitters that Spark samples.
+Distinct runs are range-partitioned by leading tokens (the head of the anchor, its hash, then what follows
+the anchor and the run's id, so that one very common anchor is spread over many buckets while runs that go
+on alike stay together), with splitters that Spark samples.
 Each bucket sorts its suffixes by multikey quicksort: by the first eight bytes, and only ties further, by
 128 bits of hash for the rest of the window; equal neighbours repeat. Suffixes of the anchor at either end
-of a bucket may have equals across the boundary: for those, hashes are exchanged and counted once more.
+of a bucket may have equals across the boundary. Of those, each bucket gives out one hash a group of ties,
+in blocks of 16 neighbours with the hash of the bytes that the block's windows share; only blocks whose
+core occurs in another place too are opened, and hashes of two buckets mark what was alone in its own.
 
 No window is sampled, capped or dropped. Equality of windows, runs and texts is that of 128-bit hashes.
 """
@@ -29,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .shared import by_bytes, free_shuffles, mix, prefix_hash, save, text_key, window_hash
+from .shared import by_bytes, free_shuffles, prefix_hash, save, text_key, window_hash
 
 PART = 1 << 20
 ANCHORS = "key binary, anchor long, n int"
-RUNS = "key binary, at long, run binary, bytes binary, lead binary, anchor long"
-SORTED = "run binary, starts array<int>, h1 long, h2 long, off int"
+RUNS = "key binary, at long, run binary, bytes binary, lead binary, anchor long, tail binary, lead_at int"
+SORTED = "run binary, starts array<int>, c1 long, c2 long, h1 array<long>, h2 array<long>, off array<int>, alone array<boolean>"
+BLOCK = 16
 
 
 def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -121,16 +125,16 @@ def _cut_runs(width: int):
             cut = parts(texts, width)
             for a, b in by_bytes([len(p) for _, _, p in cut], PART):
                 own = cut[a:b]
-                piece, first, end, value, _, lead = anchor_runs([p for _, _, p in own], width)
+                piece, first, end, value, twice, lead = anchor_runs([p for _, _, p in own], width)
                 rows = np.array([r for r, _, _ in own])[piece]
                 hot = np.concatenate([np.asarray(anchors[r], np.int64) for r in sorted({r for r, _, _ in own})])
                 out = []
                 for j in np.flatnonzero(np.isin(value, hot)).tolist():
                     _, at, data = own[piece[j]]
                     text = data[first[j] : end[j] + width - 1]
-                    out.append((keys[rows[j]], at + int(first[j]), hashlib.blake2b(text, digest_size=16).digest(), text, data[lead[j] : lead[j] + 16], int(value[j])))
+                    out.append((keys[rows[j]], at + int(first[j]), hashlib.blake2b(text, digest_size=16).digest(), text, data[lead[j] : lead[j] + 16], int(value[j]), data[lead[j] + width // 2 : min(lead[j] + width // 2 + 64, end[j] + width - 1)], -1 if twice[j] else int(lead[j] - first[j])))
                 if out:
-                    yield pd.DataFrame(out, columns=["key", "at", "run", "bytes", "lead", "anchor"])
+                    yield pd.DataFrame(out, columns=["key", "at", "run", "bytes", "lead", "anchor", "tail", "lead_at"])
 
     return run
 
@@ -156,24 +160,28 @@ def multikey_ties(characters: list[np.ndarray]) -> np.ndarray:
 _OTHER = np.random.default_rng(77).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _windows(runs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
-    """For each window of some runs: its run, its offset there, its first eight bytes, two hashes."""
-    data = np.frombuffer(b"".join(runs), np.uint8)
-    sizes = np.array([len(r) for r in runs])
-    count = sizes - width + 1
-    base = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(runs)), count)
-    off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = base[owner] + off
-    h1 = window_hash(prefix_hash(data), width)[at]
-    n = len(data)
-    other = np.zeros(n + 1, np.uint64)
-    np.cumsum(_OTHER[data] * shared._powers[:n], out=other[1:], dtype=np.uint64)
-    h2 = mix((other[at + width] - other[at]) * shared._inverse[at] ^ np.uint64(0x5851F42D4C957F2D))
-    head = np.zeros(len(at), np.uint64)
-    for i in range(8):
-        head = (head << np.uint64(8)) | data[at + i]
-    return owner, off, head, h1, h2
+class _Windows:
+    """The windows of some runs: for each its run (owner), its offset there, first eight bytes, two hashes."""
+
+    def __init__(self, runs: list[bytes], width: int) -> None:
+        data = np.frombuffer(b"".join(runs), np.uint8)
+        sizes = np.array([len(r) for r in runs])
+        count = sizes - width + 1
+        self.base = np.cumsum(sizes) - sizes
+        self.owner = np.repeat(np.arange(len(runs)), count)
+        self.off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = self.base[self.owner] + self.off
+        self.one, n = prefix_hash(data), len(data)
+        self.two = np.zeros(n + 1, np.uint64)
+        np.cumsum(_OTHER[data] * shared._powers[:n], out=self.two[1:], dtype=np.uint64)
+        self.h1, self.h2 = self.hashes(at, at + width)
+        self.head = np.zeros(len(at), np.uint64)
+        for i in range(8):
+            self.head = (self.head << np.uint64(8)) | data[at + i]
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits for bytes [start, end)."""
+        return shared.span_hash(self.one, start, end), shared.span_hash(self.two, start, end)
 
 
 def _ranges(flags: np.ndarray) -> list[int]:
@@ -182,27 +190,43 @@ def _ranges(flags: np.ndarray) -> list[int]:
 
 
 def _sort_bucket(width: int, chunk: int = 4 << 20, most: int = 32 << 20):
-    """Rows come sorted by (lead, anchor, run). Chunks end between anchors if they can; suffixes of the anchor
+    """Rows come sorted by (lead, anchor, tail, run). Chunks end between anchors if they can; suffixes of the anchor
     at the end of a chunk that cannot, and of the first and last anchor, are also given out as hashes."""
 
     def sort(rows: list[tuple], edge: set) -> Iterator[pd.DataFrame]:
-        owner, off, head, h1, h2 = _windows([r[1] for r in rows], width)
+        w = _Windows([r[1] for r in rows], width)
         many = np.array([r[3] for r in rows])
-        tied = multikey_ties([head, h1, h2]) | many[owner]
-        bounds = np.searchsorted(owner, np.arange(len(rows) + 1))
-        open_rows = np.array([r[2] in edge for r in rows])
+        tied = multikey_ties([w.head, w.h1, w.h2]) | many[w.owner]
+        bounds = np.searchsorted(w.owner, np.arange(len(rows) + 1))
         out = [(r[0], found) for i, r in enumerate(rows) if (found := _ranges(tied[bounds[i] : bounds[i + 1]]))]
         if out:
-            yield pd.DataFrame({"run": [x[0] for x in out], "starts": [x[1] for x in out], "h1": 0, "h2": 0, "off": -1})
-        pick = np.flatnonzero(open_rows[owner])
-        if len(pick):
-            yield pd.DataFrame({"run": [rows[i][0] for i in owner[pick]], "starts": None, "h1": h1[pick].view(np.int64), "h2": h2[pick].view(np.int64), "off": off[pick].astype(np.int32)})
+            yield pd.DataFrame({"run": [x[0] for x in out], "starts": [x[1] for x in out]} | {c: None for c in ("c1", "c2", "h1", "h2", "off", "alone")})
+        pick = np.flatnonzero(np.array([r[2] in edge for r in rows])[w.owner])
+        if not len(pick):
+            return
+        order = pick[np.lexsort((w.h2[pick], w.h1[pick]))]
+        pick = np.sort(order[np.append(True, (w.h1[order[1:]] != w.h1[order[:-1]]) | (w.h2[order[1:]] != w.h2[order[:-1]]))])
+        lead_at = np.array([r[4] for r in rows])[w.owner[pick]]
+        # Blocks are counted from the anchor, so equal windows fall into equal blocks; in a run that holds its
+        # anchor twice each window is a block.
+        far = (lead_at - w.off[pick]) // BLOCK
+        block = np.where(lead_at < 0, -1 - w.off[pick], far)
+        head = np.flatnonzero(np.append(True, (w.owner[pick][1:] != w.owner[pick][:-1]) | (block[1:] != block[:-1])))
+        first, single = pick[head], lead_at[head] < 0
+        base = w.base[w.owner[first]]
+        start = base + np.where(single, w.off[first], lead_at[head] - BLOCK * far[head])
+        c1, c2 = w.hashes(start, start + width - np.where(single, 0, BLOCK - 1))
+        parts = lambda x: np.split(x[pick], head[1:])
+        yield pd.DataFrame({
+            "run": [rows[i][0] for i in w.owner[first]], "starts": None, "c1": c1.view(np.int64), "c2": c2.view(np.int64),
+            "h1": parts(w.h1.view(np.int64)), "h2": parts(w.h2.view(np.int64)), "off": parts(w.off.astype(np.int32)), "alone": parts(~tied),
+        })
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         held, edge, first = 0, set(), True
         for pdf in frames:
-            for r, data, lead, anchor, many in zip(pdf["run"], pdf["bytes"], pdf["lead"], pdf["anchor"], pdf["many"]):
+            for r, data, lead, anchor, many, lead_at in zip(*(pdf[c] for c in ("run", "bytes", "lead", "anchor", "many", "lead_at"))):
                 group = (lead, anchor)
                 if first:
                     edge, first = {group}, False
@@ -213,7 +237,7 @@ def _sort_bucket(width: int, chunk: int = 4 << 20, most: int = 32 << 20):
                     edge.add(group)
                     yield from sort(rows, edge)
                     rows, held = [], 0
-                rows.append((r, data, group, bool(many)))
+                rows.append((r, data, group, bool(many), int(lead_at)))
                 held += len(data)
         if rows:
             edge.add(rows[-1][2])
@@ -242,14 +266,17 @@ def repeated_windows(docs: DataFrame, text: str = "text", width: int = 400) -> D
     runs = save(distinct_texts(docs, text).join(hot, "key").select("key", "text", "anchors").mapInPandas(_cut_runs(width), RUNS))
     shared.drop_saved(anchors)
     free_shuffles(spark)
-    merged = runs.groupBy("run").agg(F.first("bytes").alias("bytes"), F.first("lead").alias("lead"), F.first("anchor").alias("anchor"), (F.count("*") > 1).alias("many"))
+    merged = runs.groupBy("run").agg(F.first("bytes").alias("bytes"), F.first("lead").alias("lead"), F.first("anchor").alias("anchor"), F.first("tail").alias("tail"), F.first("lead_at").alias("lead_at"), (F.count("*") > 1).alias("many"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["lead", "anchor", "run"]
+    order = ["lead", "anchor", "tail", "run"]
     found = save(merged.repartitionByRange(buckets, *order).sortWithinPartitions(*order).mapInPandas(_sort_bucket(width), SORTED), 2048)
-    across = found.where("off >= 0")
-    pairs = across.groupBy("h1", "h2").agg(F.min("run").alias("_a"), F.max("run").alias("_b"), F.count("*").alias("_n")).where("_n > 1").select("h1", "h2")
-    late = across.join(pairs, ["h1", "h2"]).select("run", F.array(F.col("off"), F.col("off") + 1).alias("starts"))
-    repeats = found.where("off < 0").select("run", "starts").unionByName(late)
+    blocks = found.where("starts IS NULL")
+    cores = blocks.groupBy("c1", "c2").agg(F.count("*").alias("_n")).where("_n > 1").select("c1", "c2")
+    opened = F.explode(F.arrays_zip("h1", "h2", "off", "alone"))
+    across = blocks.join(cores, ["c1", "c2"]).select("run", opened.alias("w")).select("run", "w.h1", "w.h2", "w.off", "w.alone")
+    pairs = across.groupBy("h1", "h2").agg(F.count("*").alias("_n")).where("_n > 1").select("h1", "h2")
+    late = across.where("alone").join(pairs, ["h1", "h2"]).select("run", F.array(F.col("off"), F.col("off") + 1).alias("starts"))
+    repeats = found.where("starts IS NOT NULL").select("run", "starts").unionByName(late)
     moved = runs.select("key", "at", "run").join(repeats, "run").select("key", F.transform("starts", lambda x: x.cast("long") + F.col("at")).alias("starts"))
     out = save(moved.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts")))
     shared.drop_saved(runs, found)
