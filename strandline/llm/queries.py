@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import langid, mixing, neardup, packing, suffixes, warc
+from . import balltree, langid, mixing, neardup, nndescent, packing, suffixes, warc
 from .shared import save
 
 
@@ -15,6 +15,11 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return nndescent.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return packing.pack(table(spark, sf_dir, "documents")).drop("loss_tokens")
@@ -33,6 +38,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return save(out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return balltree.top_k(save(balltree.quantised(table(spark, sf_dir, "embeddings"))))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return suffixes.removal(table(spark, sf_dir, "documents"))
@@ -44,9 +54,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_nearest": op2_nearest,
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
     "op7_language": op7_language,
+    "op8_top_k": op8_top_k,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
 }
