@@ -189,7 +189,7 @@ def _ranges(flags: np.ndarray) -> list[int]:
     return np.column_stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)]).ravel().tolist()
 
 
-def _sort_bucket(width: int, chunk: int = 4 << 20, most: int = 32 << 20):
+def _sort_bucket(width: int, chunk: int = 1 << 20, most: int = 4 << 20):
     """Rows come sorted by (lead, anchor, tail, run). Chunks end between anchors if they can; suffixes of the anchor
     at the end of a chunk that cannot, and of the first and last anchor, are also given out as hashes."""
 
