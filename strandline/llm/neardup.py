@@ -139,7 +139,7 @@ def _band_rows(p: Params):
         for pdf in frames:
             texts = [canonical(t).encode("utf-8", "replace") for t in pdf["text"]]
             keys = list(pdf["key"])
-            for a, b in by_bytes([len(t) + 200 for t in texts], 1 << 20):
+            for a, b in by_bytes([len(t) + 200 for t in texts], 1 << 19):
                 row, shingle, weight = shingle_bags(texts[a:b], p.size)
                 bands = band_hashes(signatures(row, shingle, weight, b - a, p.components), p.bands, p.rows)
                 have = np.unique(row)

@@ -32,7 +32,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
-def save(df: DataFrame, arrow_rows: int = 512) -> DataFrame:
+def save(df: DataFrame, arrow_rows: int = 256) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again: this cuts the lineage, so a lost
     executor costs only the tasks that were running. Batches sent to Python hold `arrow_rows` rows at
     most meanwhile, which bounds a worker's memory when rows are long."""
@@ -47,6 +47,12 @@ def save(df: DataFrame, arrow_rows: int = 512) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, arrow_rows: int = 256) -> None:
+    """For a frame that the caller will write: batches sent to Python hold no more rows from now on."""
+    if int(spark.conf.get(ARROW_ROWS)) > arrow_rows:
+        spark.conf.set(ARROW_ROWS, str(arrow_rows))
+
+
 def drop_saved(*frames: DataFrame) -> None:
     """Remove tables that save() wrote and that nothing reads any more."""
     for df in frames:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import langid, mixing, neardup, packing, suffixes
+from .shared import small_batches
 
 #: Production parameters. A repeated passage is one of 200 bytes or more (50 words of these languages).
 REPEAT_BYTES = 200
@@ -18,6 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Predict each text's language; texts without one (null, or no letter) are rejected. `lang` becomes the
     prediction, as every later stage should go by what the text is and not by what it was labelled."""
     ship(spark)
+    small_batches(spark)
     model = langid.train(docs)
     out = langid.with_language(docs, model, pred="_pred", score="_score")
     return out.where(F.col("_pred") != langid.UNDECIDED).withColumn("lang", F.col("_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -32,6 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur elsewhere too are taken out of the texts; documents left without text go."""
     ship(spark)
+    small_batches(spark)
     out = suffixes.strip_repeats(docs, width=REPEAT_BYTES).where(F.length(F.trim("text")) > 0)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import shared
 from .shared import by_bytes, free_shuffles, prefix_hash, save, text_key, window_hash
 
-PART = 1 << 20
+PART = 1 << 18
 ANCHORS = "key binary, anchor long, n int"
 RUNS = "key binary, at long, run binary, bytes binary, lead binary, anchor long, tail binary, lead_at int"
 SORTED = "run binary, starts array<int>, c1 long, c2 long, h1 array<long>, h2 array<long>, off array<int>, alone array<boolean>"
@@ -83,8 +83,8 @@ def anchor_runs(pieces: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     first = np.zeros(len(a), np.int64)
     span = np.arange(2 * room)
     last = len(hashes) - 1
-    for i in range(0, len(a), 4096):
-        rows = slice(i, i + 4096)
+    for i in range(0, len(a), 1024):
+        rows = slice(i, i + 1024)
         grid = a[rows, None] + span[None, :]
         hit = (hashes[np.minimum(grid, last)] == value[rows, None]) & (grid < (b[rows] + room - 1)[:, None])
         twice[rows] |= hit.sum(axis=1) > 1
@@ -189,7 +189,7 @@ def _ranges(flags: np.ndarray) -> list[int]:
     return np.column_stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)]).ravel().tolist()
 
 
-def _sort_bucket(width: int, chunk: int = 1 << 20, most: int = 4 << 20):
+def _sort_bucket(width: int, chunk: int = 1 << 19, most: int = 2 << 20):
     """Rows come sorted by (lead, anchor, tail, run). Chunks end between anchors if they can; suffixes of the anchor
     at the end of a chunk that cannot, and of the first and last anchor, are also given out as hashes."""
 
