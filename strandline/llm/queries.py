@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import balltree, langid, mixing, neardup, nndescent, packing, suffixes, warc
+from . import balltree, chat, langid, mixing, neardup, nndescent, packing, suffixes, tokens, warc
 from .shared import save
 
 
@@ -20,6 +20,10 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return packing.pack(table(spark, sf_dir, "documents")).drop("loss_tokens")
@@ -30,6 +34,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("uri")
 
 
+def op6_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return tokens.length_histogram(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -55,8 +64,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_nearest": op2_nearest,
+    "op3_chat": op3_chat,
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
+    "op6_lengths": op6_lengths,
     "op7_language": op7_language,
     "op8_top_k": op8_top_k,
     "op9_suffix_dedup": op9_suffix_dedup,
@@ -67,6 +78,7 @@ QUERIES = {
 _B32 = "list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS INTEGER), 1)), 'string_agg', '')"
 
 ORACLE_SQL = {
+    "op3_chat": chat.ORACLE,
     "op5_warc": f"""
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
   d AS (SELECT h, max(page_id) AS response FROM p GROUP BY h)
