@@ -15,11 +15,13 @@ from ..functions import calendars as C
 from ..functions import paths as P
 from ..functions import timestamps as T
 from ..functions.globs import any_matches, matches
+from ..operators import timeline
 from ..operators.catalog import HistoryCollection
 from ..sources import cdf, history
 
 AUXILIARY = "auxiliary"
 VERSION = "1"
+STATUS = "out_path string, status string, error string"
 
 
 def plan(steps: DataFrame, delta: DataFrame, head: str, output: str, formats: dict[str, str] | None = None) -> DataFrame:
@@ -30,7 +32,7 @@ def plan(steps: DataFrame, delta: DataFrame, head: str, output: str, formats: di
     counts = axis.groupBy(*key).agg(F.count("*").alias("n"), F.min("micros").alias("_t"), F.min("instant").alias("low"), F.max("instant").alias("high"))
     before = "sum(n) OVER (PARTITION BY group_id ORDER BY _t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     ranges = counts.withColumn("ts_start_index", F.expr(f"coalesce({before}, 0L)")).withColumn("ts_end_index", F.col("ts_start_index") + F.col("n"))
-    first = steps.groupBy(*key).agg(F.array_sort(F.collect_set("path")).alias("hf_paths"), F.min_by("variables", "path").alias("variables"), F.first("calendar").alias("calendar"))
+    first = steps.groupBy(*key).agg(F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.array_sort(F.collect_set("path")).alias("hf_paths"), F.min_by("variables", "path").alias("variables"), F.first("calendar").alias("calendar"))
     primary = F.transform(F.filter("variables", lambda v: ~v["secondary"]), lambda v: v["name"])
     secondary = F.transform(F.filter("variables", lambda v: v["secondary"]), lambda v: v["name"])
     rows = _null_safe(first, ranges, key)
@@ -41,7 +43,7 @@ def plan(steps: DataFrame, delta: DataFrame, head: str, output: str, formats: di
     return rows.select(
         *key, "hf_paths", F.concat(F.lit(output.rstrip("/")), rest).alias("ts_path_template"),
         F.explode(F.when(F.size(primary) > 0, primary).otherwise(F.array(F.lit(AUXILIARY)))).alias("primary_var"), secondary.alias("secondary_vars"),
-        F.concat(stamp("_low"), F.lit("-"), stamp("_high")).alias("ts_string"), "ts_start_index", "ts_end_index", "delta",
+        F.concat(stamp("_low"), F.lit("-"), stamp("_high")).alias("ts_string"), "ts_start_index", "ts_end_index", "first_time", "last_time", "delta",
         F.lit(None).cast("int").alias("complevel"), F.lit(None).cast("string").alias("compression"), F.lit(False).alias("overwrite"), F.create_map().cast("map<string,string>").alias("append_attrs"),
     )
 
@@ -68,7 +70,9 @@ class OrderCollection:
     @classmethod
     def build(cls, collection: HistoryCollection, output: str | None = None, formats: dict[str, str] | None = None) -> OrderCollection:
         out = output or collection.head
-        return cls(plan(collection.steps(), collection.timestep_delta(), collection.head, out, formats), collection, out)
+        steps = collection.steps().cache()  # a row a file and step: read by the plan's several aggregates
+        delta = timeline.timestep_delta(steps, ["group_id"], "micros")
+        return cls(plan(steps, delta, collection.head, out, formats).cache(), collection, out)
 
     def _with(self, frame: DataFrame) -> OrderCollection:
         return OrderCollection(frame, self.source, self.output)
@@ -127,12 +131,13 @@ class OrderCollection:
         orders = self.frame.withColumn("out_path", out_path())
         batch = F.floor((F.row_number().over(_by("group_id", "slice_start", "slice_end")) - 1) / (optimize_batch_n if optimize else 1)).cast("int")
         key = ["group_id", "slice_start", "slice_end", "batch"]
-        columns = ["out_path", "primary_var", "secondary_vars", "hf_paths", "ts_start_index", "ts_end_index", "overwrite", "append_attrs", "complevel", "compression"]
+        columns = ["out_path", "primary_var", "secondary_vars", "hf_paths", "first_time", "last_time", "overwrite", "append_attrs", "complevel", "compression"]
         dealt = orders.withColumn("batch", batch).repartition(*key).sortWithinPartitions(*key).select(*key, *columns)
-        out = dealt.groupBy(*key).applyInPandas(_write_group, "out_path string, status string, error string").cache()
-        if raise_errors and (bad := out.where("error IS NOT NULL").first()):
+        out = dealt.groupBy(*key).applyInPandas(_write_group, STATUS)
+        rows = out.collect()  # one short row an output; writing happens here, once
+        if raise_errors and (bad := next((r for r in rows if r["error"]), None)):
             raise RuntimeError(bad["error"])
-        return out
+        return out.sparkSession.createDataFrame(rows, STATUS)
 
 
 def _by(*columns: str):
@@ -150,11 +155,12 @@ def is_complete(path: str) -> bool:
         return False
 
 
-def assemble(files: list[cdf.Dataset], primary: str | None, secondary: list[str], start: int | None, end: int | None) -> cdf.Dataset:
-    """One variable along the sorted, distinct time axis of all files; tiles are pasted by coordinate index."""
+def assemble(files: list[cdf.Dataset], primary: str | None, secondary: list[str], low: float, high: float) -> cdf.Dataset:
+    """One variable along the sorted, distinct times of all files from low to high; tiles are pasted by coordinate index."""
     time = next(n for n in files[0].variables if n.lower() == "time")
     tdim = files[0].variables[time].dims[0] if files[0].variables[time].dims else time
-    axis = np.unique(np.concatenate([np.atleast_1d(f.variables[time].data).astype(float).ravel() for f in files]))[start:end]
+    axis = np.unique(np.concatenate([np.atleast_1d(f.variables[time].data).astype(float).ravel() for f in files]))
+    axis = axis[(axis >= low) & (axis <= high)]
     coords = {}
     for d in files[0].dims:
         if d != tdim:
@@ -163,6 +169,8 @@ def assemble(files: list[cdf.Dataset], primary: str | None, secondary: list[str]
 
     def series(name: str) -> cdf.Variable:
         v = files[0].variables[name]
+        if name in coords and v.dims == [name]:
+            return cdf.Variable(v.dims, coords[name].astype(v.data.dtype), v.attrs)
         if tdim not in v.dims:
             return v
         shape = [len(axis) if d == tdim else len(coords[d]) for d in v.dims]
@@ -205,7 +213,7 @@ def _write_group(pdf: pd.DataFrame) -> pd.DataFrame:
                     with open(p, "rb") as f:
                         files.append(cdf.read(f.read()))
             primary = None if r["primary_var"] == AUXILIARY else r["primary_var"]
-            ds = assemble(files, primary, list(r["secondary_vars"]), int(r["ts_start_index"]), int(r["ts_end_index"]))
+            ds = assemble(files, primary, list(r["secondary_vars"]), float(r["first_time"]), float(r["last_time"]))
             ds.attrs |= dict(r["append_attrs"] or {})
             ds.attrs[history.MARKER] = VERSION
             os.makedirs(os.path.dirname(path), exist_ok=True)

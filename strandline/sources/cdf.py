@@ -168,6 +168,6 @@ def write(ds: Dataset, version: int = 5) -> bytes:
     body = [pad(p[4].data.astype(TYPES[p[3]]).tobytes()) for p in parts if not p[1]]
     for r in range(records):
         for p in rolling:
-            raw = p[4].data[r].astype(TYPES[p[3]]).tobytes()
+            raw = np.asarray(p[4].data[r], TYPES[p[3]]).tobytes()
             body.append(raw if len(rolling) == 1 else pad(raw))
     return head + b"".join(body)
