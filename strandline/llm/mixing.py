@@ -78,7 +78,7 @@ def budgets(leaves: DataFrame, total: Column | int, weights: dict[str, dict[str,
     return leaves.join(given.select(*LEVELS, F.col("given").alias("budget")), list(LEVELS))
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_tenths: int = 6, budget: int | None = None, max_epochs: int = 2, seed: str = "mix-1", range_rows: int = 20_000, domain: Column | None = None, tokens: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_tenths: int = 6, budget: int | None = None, max_epochs: int = 2, seed: str = "mix-1", range_rows: int = 2_000, domain: Column | None = None, tokens: Column | None = None) -> DataFrame:
     """One row for each document of which anything is selected: doc_id, the leaf, tokens, `epochs` (times
     it is taken whole), `prefix_tokens` (taken in the epoch after those) and `selected_tokens`.
 
