@@ -19,8 +19,9 @@ from ..operators.variables import BOUNDS_NAMES, SECONDARY_DIMS
 from . import cdf
 
 MARKER = "strandline_version"
-#: Global attributes that say a file is an output already; the second is another tool's.
-DONE_MARKERS = (MARKER, "gents_version")
+#: Global attributes that say a file is an output already. Append the marker of another tool to have its
+#: outputs recognised too.
+DONE_MARKERS = [MARKER]
 
 CATALOG = """path string, attrs map<string,string>, time_name string, bounds_name string, units string, calendar string,
  times array<double>, bounds array<struct<lo:double,hi:double>>,
