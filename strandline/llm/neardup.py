@@ -46,6 +46,7 @@ class Params:
     bands: int = 25
     rows: int = 5
     block: int = 256
+    block_bytes: int = 4 << 20
 
     @property
     def components(self) -> int:
@@ -149,6 +150,7 @@ def _band_rows(p: Params):
 
 
 def bag(text: str, size: int) -> Counter:
+    """A text's shingles by the definition; the operator counts their hashes."""
     words = canonical(text).split(" ")
     return Counter(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
 
@@ -161,36 +163,66 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
-class _Bags:
-    """The bags a task used last, as long as their words stay below a bound."""
-
-    def __init__(self, size: int, most_words: int = 400_000) -> None:
-        self.size, self.most, self.held, self.bags = size, most_words, 0, {}
-
-    def of(self, key: bytes, text: str) -> tuple[Counter, int]:
-        got = self.bags.get(key)
-        if got is None:
-            own = bag(text, self.size)
-            got = (own, sum(own.values()))
-            if self.held + got[1] > self.most:
-                self.bags, self.held = {}, 0
-            self.bags[key] = got
-            self.held += got[1]
-        return got
-
-
-def _alike(x: tuple[Counter, int], y: tuple[Counter, int], p: Params) -> bool:
-    if min(x[1], y[1]) < p.threshold * max(x[1], y[1]):
-        return False
-    return similarity(x[0], y[0]) >= p.threshold
+def _bags(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return shingle_bags([canonical(t).encode("utf-8", "replace") for t in texts], size)
+
+
+def overlap(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> int:
+    """Sum of the smaller counts of two bags: sorted shingle hashes and their counts."""
+    if len(a) > len(b):
+        a, n_a, b, n_b = b, n_b, a, n_a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    hit = np.flatnonzero(b[at] == a)
+    return int(np.minimum(n_a[hit], n_b[at[hit]]).sum())
+
+
+def overlaps(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_rows: int, width: int = 4096) -> np.ndarray:
+    """The same for all pairs of some bags, as a matrix. The smaller of two counts is the number of levels
+    that both reach, so each (shingle, level) is a feature that a bag has or not, and the overlaps are the products of
+    the bags' feature rows. Features of one bag only are left out; the others go `width` at a time."""
+    each = np.repeat(np.arange(len(row)), count)
+    level = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+    feature = mix(shingle[each] + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(feature, kind="stable")
+    feature, owner = feature[order], row[each][order]
+    head = np.append(True, feature[1:] != feature[:-1])[: len(feature)]
+    ident = np.cumsum(head) - 1
+    many = np.bincount(ident)[ident] > 1
+    owner, ident = owner[many], np.cumsum(head[many]) - 1
+    out = np.zeros((n_rows, n_rows))
+    for base in range(0, int(ident[-1]) + 1 if len(ident) else 0, width):
+        a, b = np.searchsorted(ident, [base, base + width])
+        has = np.zeros((n_rows, width), np.float32)
+        has[owner[a:b], ident[a:b] - base] = 1.0
+        out += has @ has.T
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """Of (a, b) those whose texts are similar enough. texts: (key, text)."""
+    def alike(keys: list[tuple[bytes, bytes]], whole: dict[bytes, str]) -> list[bool]:
+        place = {k: i for i, k in enumerate(whole)}
+        row, shingle, count = _bags(list(whole.values()), p.size)
+        edge = np.searchsorted(row, np.arange(len(whole) + 1))
+        total = np.bincount(row, count, len(whole))
+        out = []
+        for a, b in keys:
+            x, y = place[a], place[b]
+            if min(total[x], total[y]) < p.threshold * max(total[x], total[y]):
+                out.append(False)
+                continue
+            own, other = slice(edge[x], edge[x + 1]), slice(edge[y], edge[y + 1])
+            both = overlap(shingle[own], count[own], shingle[other], count[other])
+            out.append(both / (total[x] + total[y] - both) >= p.threshold)
+        return out
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bags = _Bags(p.size)
         for pdf in frames:
-            ok = [_alike(bags.of(b, tb), bags.of(a, ta), p) for a, ta, b, tb in zip(pdf["a"], pdf["ta"], pdf["b"], pdf["tb"])]
+            a, ta, b, tb = (list(pdf[c]) for c in ("a", "ta", "b", "tb"))
+            ok: list[bool] = []
+            for i, j in by_bytes([len(x) + len(y) for x, y in zip(ta, tb)], 1 << 20):
+                ok += alike(list(zip(a[i:j], b[i:j])), dict(zip(a[i:j], ta[i:j])) | dict(zip(b[i:j], tb[i:j])))
             yield pdf.loc[ok, ["a", "b"]]
 
     first = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "ta"}), "a")
@@ -206,7 +238,9 @@ def _labelled(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataF
 
 def _blocks(members: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """members: (bucket, key, label), buckets with several classes. Compares the pairs of different classes."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(p.block)).cast("int").alias("parts"))
+    whole = members.join(texts, "key")
+    full = F.greatest(F.count("*") / F.lit(p.block), F.sum(F.octet_length("text")) / F.lit(p.block_bytes))
+    sizes = whole.groupBy("bucket").agg(F.ceil(full).cast("int").alias("parts"))
     place = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     # A pair of blocks is a task; a member of block i goes to the pairs (i, 0..) and (.., i), so it is sent as
     # often as its bucket has blocks.
@@ -226,19 +260,20 @@ def _blocks(members: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
                     x = parent[x]
                 return x
 
-            bags = [(part, key, label, *_Bags(p.size, 0).of(key, text)) for part, key, label, text in rows]
-            bags.sort(key=lambda x: x[4])
-            links, i, j = [], at[1], at[2]
-            for x in range(len(bags)):
-                for y in range(x + 1, len(bags)):
-                    a, b = bags[x], bags[y]
-                    if a[4] < p.threshold * b[4]:
-                        break
-                    if (i != j and a[0] == b[0]) or find(a[2]) == find(b[2]):
-                        continue
-                    if similarity(a[3], b[3]) >= p.threshold:
-                        links.append((a[1], b[1]))
-                        parent[find(a[2])] = find(b[2])
+            n = len(rows)
+            row, shingle, count = _bags([r[3] for r in rows], p.size)
+            both, total = overlaps(row, shingle, count, n), np.bincount(row, count, n)
+            either = total[:, None] + total[None, :] - both
+            alike = np.triu(both / np.maximum(either, 1.0) >= p.threshold, 1)
+            if at[1] != at[2]:  # pairs within a block are compared where the block meets itself
+                part = np.array([r[0] for r in rows])
+                alike &= part[:, None] != part[None, :]
+            links = []
+            for x, y in np.argwhere(alike):
+                one, other = find(rows[x][2]), find(rows[y][2])
+                if one != other:
+                    links.append((rows[x][1], rows[y][1]))
+                    parent[one] = other
             return pd.DataFrame(links, columns=["a", "b"])
 
         for pdf in frames:
