@@ -6,6 +6,7 @@ import argparse
 import logging
 import sys
 
+from .logs import enable_logging
 from .operators.catalog import HistoryCollection
 from .plans.presets import preset
 from .plans.stats import collection_stats, order_stats
@@ -36,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    logging.basicConfig(level=logging.INFO if args.verbose else logging.WARNING)
+    enable_logging(args.verbose)
     conf = preset(args.model)
     for name in ("include", "exclude"):
         if given := getattr(args, name):

@@ -95,9 +95,9 @@ class HistoryCollection:
     def steps(self) -> DataFrame:
         """One row a file and step: group_id, micros (the time), instant (aligned), civil fields, slice."""
         none = F.array_repeat(F.lit(None).cast("struct<lo:double,hi:double>"), F.size("times"))
-        rows = self.grouped().withColumn("bounds", F.coalesce("bounds", none)).withColumn("_s", F.explode(F.arrays_zip("times", "bounds")))
+        rows = self.grouped().withColumn("bounds", F.coalesce("bounds", none)).select("*", F.posexplode(F.arrays_zip("times", "bounds")).alias("step", "_s"))
         time, bound = F.col("_s.times"), F.col("_s.bounds")
-        rows = rows.select("path", "group_id", "is_tile", "units", "calendar", "variables", "attrs", C.time_micros(time, F.col("units"), F.col("calendar")).alias("micros"), time.alias("time"), self._instant(time, bound, self.alignment).alias("instant"), self._instant(time, bound).alias("midpoint"))
+        rows = rows.select("path", "group_id", "is_tile", "step", "units", "calendar", "variables", "attrs", C.time_micros(time, F.col("units"), F.col("calendar")).alias("micros"), time.alias("time"), self._instant(time, bound, self.alignment).alias("instant"), self._instant(time, bound).alias("midpoint"))
         rows = rows.withColumn("fields", C.civil(F.col("calendar"), F.col("instant")))
         if self.slice_years is None:
             return rows.withColumns({"slice_start": F.lit(None).cast("int"), "slice_end": F.lit(None).cast("int")})
@@ -113,6 +113,19 @@ class HistoryCollection:
         """(group_id, slice_start, slice_end, paths)."""
         return self.steps().groupBy("group_id", "slice_start", "slice_end").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
+    def get_timestep_delta(self, path: str) -> int | None:
+        """Microseconds between the last two times of the path's group; None for a group with one time."""
+        group = self.grouped().where(F.col("path") == path).select("group_id").first()
+        if group is None:
+            raise KeyError(path)
+        return timeline.timestep_delta(self.steps().where(F.col("group_id") == group["group_id"]), ["group_id"], "micros").first()["delta"]
+
+    def get_multistep_slices(self, path: str) -> dict[tuple[int | None, int | None], tuple[int, int] | None]:
+        """For each slice that holds steps of a file the half-open range of its steps; None if it holds all of them."""
+        total = len(self[path]["times"])
+        rows = self.steps().where(F.col("path") == path).groupBy("slice_start", "slice_end").agg(F.min("step").alias("a"), (F.max("step") + 1).alias("b"))
+        return {(r["slice_start"], r["slice_end"]): None if (r["a"], r["b"]) == (0, total) else (r["a"], r["b"]) for r in rows.collect()}
+
     # Driver-side views, for interactive use.
     def keys(self) -> list[str]:
         return [r["path"] for r in self.frame.select("path").orderBy("path").collect()]

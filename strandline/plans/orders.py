@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +17,14 @@ from ..functions import timestamps as T
 from ..functions.globs import any_matches, matches
 from ..operators import timeline
 from ..operators.catalog import HistoryCollection
+from ..session import ship
 from ..sources import cdf, history
+from ..sources.multifile import MultiFile
 
 AUXILIARY = "auxiliary"
 VERSION = "1"
+#: Of one run of execute(); more batches than that share tasks.
+MOST_TASKS = 20_000
 STATUS = "out_path string, status string, error string"
 
 
@@ -128,16 +132,20 @@ class OrderCollection:
         """Write every order that is not complete yet: (out_path, status, error). A task opens a group's files once for
         up to optimize_batch_n variables. Outputs are written beside their place and renamed, so a task that is run
         again leaves whole files. Paths must be on a file system that all executors mount."""
+        ship(self.frame.sparkSession)
         orders = self.frame.withColumn("out_path", out_path())
         batch = F.floor((F.row_number().over(_by("group_id", "slice_start", "slice_end")) - 1) / (optimize_batch_n if optimize else 1)).cast("int")
-        key = ["group_id", "slice_start", "slice_end", "batch"]
-        columns = ["out_path", "primary_var", "secondary_vars", "hf_paths", "first_time", "last_time", "overwrite", "append_attrs", "complevel", "compression"]
-        dealt = orders.withColumn("batch", batch).repartition(*key).sortWithinPartitions(*key).select(*key, *columns)
-        out = dealt.groupBy(*key).applyInPandas(_write_group, STATUS)
-        rows = out.collect()  # one short row an output; writing happens here, once
+        columns = ["out_path", "primary_var", "secondary_vars", "first_time", "last_time", "overwrite", "append_attrs", "complevel", "compression"]
+        # A row a batch, so that a group's paths are sent once and not with each of its variables.
+        dealt = orders.withColumn("batch", batch).groupBy("group_id", "slice_start", "slice_end", "batch")
+        batches = dealt.agg(F.first("hf_paths").alias("hf_paths"), F.collect_list(F.struct(*columns)).alias("orders")).cache()
+        # A stated number of tasks: rows are few and small, and would be coalesced into one task otherwise.
+        spread = batches.select("hf_paths", "orders").repartition(max(1, min(batches.count(), MOST_TASKS)))
+        rows = spread.mapInPandas(_write_batches(list(history.DONE_MARKERS)), STATUS).collect()  # one short row an output; writing happens here, once
+        batches.unpersist()
         if raise_errors and (bad := next((r for r in rows if r["error"]), None)):
             raise RuntimeError(bad["error"])
-        return out.sparkSession.createDataFrame(rows, STATUS)
+        return self.frame.sparkSession.createDataFrame(rows, STATUS)
 
 
 def _by(*columns: str):
@@ -146,85 +154,50 @@ def _by(*columns: str):
     return Window.partitionBy(*columns).orderBy("primary_var")
 
 
-def is_complete(path: str) -> bool:
-    """Whether an output exists and carries the completion marker."""
+def is_complete(path: str, markers: list[str] | None = None) -> bool:
+    """Whether an output exists, is whole and carries a completion marker; only its header is read."""
     try:
-        with open(path, "rb") as f:
-            return any(m in cdf.read(f.read(), set()).attrs for m in history.DONE_MARKERS)
+        return any(m in cdf.load(path).attrs for m in (history.DONE_MARKERS if markers is None else markers))
     except (OSError, ValueError):
         return False
 
 
-def assemble(files: list[cdf.Dataset], primary: str | None, secondary: list[str], low: float, high: float) -> cdf.Dataset:
-    """One variable along the sorted, distinct times of all files from low to high; tiles are pasted by coordinate index."""
-    time = next(n for n in files[0].variables if n.lower() == "time")
-    tdim = files[0].variables[time].dims[0] if files[0].variables[time].dims else time
-    axis = np.unique(np.concatenate([np.atleast_1d(f.variables[time].data).astype(float).ravel() for f in files]))
-    axis = axis[(axis >= low) & (axis <= high)]
-    coords = {}
-    for d in files[0].dims:
-        if d != tdim:
-            own = [f.variables[d].data.ravel() for f in files if d in f.variables]
-            coords[d] = np.unique(np.concatenate(own)) if own else np.arange(files[-1].dims[d])
-
-    def series(name: str) -> cdf.Variable:
-        v = files[0].variables[name]
-        if name in coords and v.dims == [name]:
-            return cdf.Variable(v.dims, coords[name].astype(v.data.dtype), v.attrs)
-        if tdim not in v.dims:
-            return v
-        shape = [len(axis) if d == tdim else len(coords[d]) for d in v.dims]
-        out = np.full(shape, np.nan, v.data.dtype) if v.data.dtype.kind == "f" else np.zeros(shape, v.data.dtype)
-        for f in files:
-            if name not in f.variables:
-                continue
-            own = f.variables[name]
-            times = np.atleast_1d(f.variables[time].data).astype(float).ravel()
-            keep = np.isin(times, axis)
-            place = [np.searchsorted(axis, times[keep]) if d == tdim else (np.searchsorted(coords[d], f.variables[d].data.ravel()) if d in f.variables else np.arange(f.dims[d])) for d in own.dims]
-            data = own.data[tuple(np.flatnonzero(keep) if d == tdim else slice(None) for d in own.dims)] if own.dims else own.data
-            out[np.ix_(*place)] = data
-        return cdf.Variable(v.dims, out, v.attrs)
-
-    names = [*dict.fromkeys([*secondary, time, *([primary] if primary else [])])]
-    variables = {n: series(n) for n in names if n in files[0].variables}
-    used = {d for v in variables.values() for d in v.dims}
-    attrs: dict[str, object] = {}
-    for f in files:
-        attrs |= f.attrs
-    return cdf.Dataset({d: len(axis) if d == tdim else len(coords[d]) for d in files[0].dims if d in used}, variables, attrs, tdim)
-
-
-def _write_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    out, files = [], None
-    for r in pdf.to_dict("records"):
-        path = r["out_path"]
+def _write_batches(markers: list[str]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for paths, orders in zip(pdf["hf_paths"], pdf["orders"]):
+                yield pd.DataFrame(_write_batch(list(paths), orders, markers), columns=["out_path", "status", "error"])
+
+    return run
+
+
+def _write_batch(paths: list[str], orders: list, markers: list[str]) -> list[tuple]:
+    """Files are mapped once for all orders of the batch; each output is written a time step at a time."""
+    out, group = [], None
+    for r in orders:
+        path, temporary = r["out_path"], None
         try:
-            if not r["overwrite"] and is_complete(path):
+            if not r["overwrite"] and is_complete(path, markers):
                 out.append((path, "skipped", None))
                 continue
-            if r["compression"] not in (None, "none") and pd.notna(r["complevel"]) and int(r["complevel"]) > 0:
-                note = "classic files hold no compressed data; written plain"
-            else:
-                note = None
-            if files is None:
-                files = []
-                for p in r["hf_paths"]:
-                    with open(p, "rb") as f:
-                        files.append(cdf.read(f.read()))
+            packed = r["compression"] not in (None, "none") and (r["complevel"] or 0) > 0
+            if group is None:
+                group = MultiFile.open(paths)
             primary = None if r["primary_var"] == AUXILIARY else r["primary_var"]
-            ds = assemble(files, primary, list(r["secondary_vars"]), float(r["first_time"]), float(r["last_time"]))
+            ds = group.series(primary, list(r["secondary_vars"]), float(r["first_time"]), float(r["last_time"]))
             ds.attrs |= dict(r["append_attrs"] or {})
             ds.attrs[history.MARKER] = VERSION
             os.makedirs(os.path.dirname(path), exist_ok=True)
             temporary = f"{path}.{uuid.uuid4().hex}.tmp"
             with open(temporary, "wb") as f:
-                f.write(cdf.write(ds))
+                cdf.write_to(f, ds)
             os.replace(temporary, path)
-            out.append((path, "written" if note is None else f"written: {note}", None))
+            out.append((path, "written: classic files hold no compressed data; written plain" if packed else "written", None))
         except (OSError, ValueError, KeyError, IndexError) as e:
+            if temporary is not None and os.path.exists(temporary):
+                os.remove(temporary)
             out.append((path, "failed", f"{type(e).__name__}: {e}"))
-    return pd.DataFrame(out, columns=["out_path", "status", "error"])
+    return out
 
 
 def write_parquet(facts: DataFrame, path: str) -> None:

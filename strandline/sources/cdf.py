@@ -3,8 +3,12 @@ specification: big-endian header (dimensions, attributes, variables), then fixed
 
 from __future__ import annotations
 
+import mmap
 import struct
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import numpy as np
 
@@ -72,8 +76,16 @@ class _In:
         return out
 
 
-def read(data: bytes, only: set[str] | None = None) -> Dataset:
-    """Parse a file; `only`: the variables whose data are wanted (others get an empty array of their shape's type)."""
+def load(path: str) -> Dataset:
+    """Map a file: its header is parsed, its data are views that read the disk when they are used."""
+    extra = {"trackfd": False} if sys.version_info >= (3, 13) else {}  # no file stays open
+    with open(path, "rb") as f:
+        return read(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **extra))
+
+
+def read(data: bytes | mmap.mmap, only: set[str] | None = None) -> Dataset:
+    """Parse a file; the variables' data are views of `data`. `only`: the variables whose data are wanted (others get
+    an empty array of their shape's type)."""
     src = _In(data)
     records = src.number(src.version == 5)
     dims = [(src.name(), src.count()) for _ in src.items(DIMENSION)]
@@ -100,10 +112,13 @@ def read(data: bytes, only: set[str] | None = None) -> Dataset:
             need = begin + (records - 1) * stride + n if records else begin
             if need > len(data):
                 raise ValueError(f"the data of {name} are cut short")
-            rows = [np.frombuffer(data, dtype, n // dtype.itemsize, begin + r * stride) for r in range(records)]
-            values = (np.stack(rows) if rows else np.zeros(0, dtype)).reshape(shape)
+            within = [dtype.itemsize * int(np.prod(shape[i + 1 :], dtype=np.int64)) for i in range(1, len(shape))]
+            values = np.ndarray(shape, dtype, data, begin, [stride, *within]) if n and records else np.zeros(shape, dtype)
         else:
-            values = np.frombuffer(data, dtype, int(np.prod(shape, dtype=np.int64)), begin).reshape(shape)
+            n = int(np.prod(shape, dtype=np.int64))
+            if begin + n * dtype.itemsize > len(data):
+                raise ValueError(f"the data of {name} are cut short")
+            values = np.frombuffer(data, dtype, n, begin).reshape(shape) if n else np.zeros(shape, dtype)
         variables[name] = Variable([dims[i][0] for i in ids], values, own)
     return Dataset({n: records if size == 0 else size for n, size in dims}, variables, attrs, unlimited)
 
@@ -117,6 +132,17 @@ def _kind(dtype: np.dtype) -> int:
 
 def write(ds: Dataset, version: int = 5) -> bytes:
     """The bytes of a file. Types beyond the six oldest need version 5."""
+    return b"".join(pieces(ds, version))
+
+
+def write_to(file: BinaryIO, ds: Dataset, version: int = 5) -> None:
+    """The same into an open file, a record at a time."""
+    for piece in pieces(ds, version):
+        file.write(piece)
+
+
+def pieces(ds: Dataset, version: int = 5) -> Iterator[bytes]:
+    """Header, fixed variables, then the record variables' steps: each is asked for once, when its turn comes."""
     wide = version == 5
     num = lambda n: struct.pack(">Q" if wide else ">I", n)
     pad = lambda b: b + b"\0" * ((-len(b)) % 4)
@@ -165,9 +191,11 @@ def write(ds: Dataset, version: int = 5) -> bytes:
     head += struct.pack(">I", VARIABLE if parts else 0) + num(len(parts))
     for i, p in enumerate(parts):
         head += p[0] + num(p[2] + (-p[2]) % 4) + begins[i].to_bytes(begin_size, "big")
-    body = [pad(p[4].data.astype(TYPES[p[3]]).tobytes()) for p in parts if not p[1]]
+    yield head
+    for p in parts:
+        if not p[1]:
+            yield pad(p[4].data.astype(TYPES[p[3]]).tobytes())
     for r in range(records):
         for p in rolling:
             raw = np.asarray(p[4].data[r], TYPES[p[3]]).tobytes()
-            body.append(raw if len(rolling) == 1 else pad(raw))
-    return head + b"".join(body)
+            yield raw if len(rolling) == 1 else pad(raw)

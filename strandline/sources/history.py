@@ -38,17 +38,26 @@ def find_files(spark: SparkSession, head: str, pattern: str = "*") -> DataFrame:
 
 
 def _contents(spark: SparkSession, head: str, pattern: str) -> DataFrame:
+    """(path, content). Content is null where the path is on a mounted file system: tasks map such a file and read
+    the bytes that they need, so a catalog touches headers and time axes only. Other stores give whole files."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(head)
+    mounted = target.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(head)
-    out = files.select(P.strip_scheme(F.col("path")).alias("path"), "content")
+    content = F.lit(None).cast("binary") if mounted else F.col("content")
+    out = files.select(P.strip_scheme(F.col("path")).alias("path"), content.alias("content"))
     return out.where(matches(P.basename(F.col("path")), pattern))
 
 
-def metadata(path: str, content: bytes) -> dict:
+def _dataset(path: str, content: bytes | None) -> cdf.Dataset:
+    return cdf.load(path) if content is None else cdf.read(content)
+
+
+def metadata(path: str, content: bytes | None = None) -> dict:
     """One catalog row; what cannot be read gives a row with `error`."""
     row = dict.fromkeys([c.split()[0] for c in ("path", "attrs", "time_name", "bounds_name", "units", "calendar", "times", "bounds", "variables", "dim_bounds", "error")])
     row["path"] = path
     try:
-        ds = cdf.read(content)
+        ds = _dataset(path, content)
         names = list(ds.variables)
         time = next((n for n in reversed(names) if n.lower() == "time"), None)
         bound = next((n for n in reversed(names) if n.lower() in BOUNDS_NAMES), None)
@@ -68,7 +77,7 @@ def metadata(path: str, content: bytes) -> dict:
         ]
         coords = {d: ds.variables[d].data.astype(float).ravel() for d in ds.dims if d in ds.variables and ds.variables[d].data.dtype.kind != "S"}
         row["dim_bounds"] = {d: [float(x.min()), float(x.max())] if x.size > 1 else x.tolist() for d, x in coords.items()}
-    except (ValueError, KeyError, IndexError) as e:
+    except (OSError, ValueError, KeyError, IndexError) as e:
         row["error"] = f"{type(e).__name__}: {e}: {path}"
     return row
 
@@ -93,8 +102,8 @@ def facts(spark: SparkSession, head: str, pattern: str = "*.nc*", variables: lis
         for pdf in frames:
             for p, c in zip(pdf["path"], pdf["content"]):
                 try:
-                    ds = cdf.read(c, None if variables is None else {*variables, *[n for n in ("time", "Time", "TIME")]})
-                except ValueError:
+                    ds = _dataset(p, c)
+                except (OSError, ValueError):
                     continue
                 time = next((n for n in ds.variables if n.lower() == "time"), None)
                 axis = np.atleast_1d(ds.variables[time].data).astype(float).ravel() if time else np.zeros(0)

@@ -13,7 +13,9 @@ from strandline.plans import chunks
 from strandline.plans.orders import OrderCollection, is_complete
 from strandline.plans.presets import preset
 from strandline.plans.stats import collection_stats, order_stats
+from strandline.logs import enable_logging
 from strandline.sources import cdf, history
+from strandline.sources.multifile import MultiFile
 
 from . import cases
 
@@ -117,6 +119,33 @@ def test_scrambled_names_steps_and_tail(spark, tmp_path):
     assert out.variables["time"].data.tolist() == [(48 + i) * 30 + 15.0 for i in range(12)]
 
 
+def test_step_ranges_and_several_files(spark, tmp_path):
+    head = str(tmp_path / "in")
+    for j in range(2):
+        t = [(j * 15 + i) * 30 + 15.0 for i in range(15)]
+        cases.history_file(f"{head}/c.h1.{j:03d}.nc", t, n_vars=2)
+    hfc = HistoryCollection.open(spark, head).slice_groups(1, start_year=1850)
+    second = f"{head}/c.h1.001.nc"
+    assert hfc.get_multistep_slices(second) == {(1851, 1851): (0, 9), (1852, 1852): (9, 15)}
+    assert HistoryCollection.open(spark, head).get_multistep_slices(second) == {(None, None): None}
+    assert hfc.get_timestep_delta(second) == 30 * timestamps.DAY
+    with pytest.raises(KeyError):
+        hfc.get_timestep_delta("none")
+    with MultiFile.open([second, f"{head}/c.h1.000.nc"]) as m:
+        assert m.is_time_consistent() and not m.is_fragmented() and m.shape("VAR1") == (30, 3, 2) and second in m and len(m) == 2
+        assert m.time_values().tolist() == [i * 30 + 15.0 for i in range(30)]
+        want = [[[cases.value(1, i * 30 + 15.0, a, b) for b in range(2)] for a in range(3)] for i in range(13, 17)]
+        assert np.array_equal(m.values("VAR1", 13, 17), want) and m.dims("VAR0") == ["time", "lat", "lon"] and m.attrs()["source"] == "test"
+    with open(second, "r+b") as f:
+        f.truncate(os.path.getsize(second) - 8)
+    with pytest.raises(ValueError):
+        cdf.load(second)
+    log = enable_logging(True, str(tmp_path / "log.txt"))
+    log.info("seen")
+    enable_logging()
+    assert "seen" in (tmp_path / "log.txt").read_text()
+
+
 def test_tiles_descending_and_missing(spark, tmp_path):
     head = str(tmp_path / "in")
     for step in range(2):
