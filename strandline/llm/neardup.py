@@ -46,7 +46,7 @@ class Params:
     bands: int = 25
     rows: int = 5
     block: int = 256
-    block_bytes: int = 4 << 20
+    block_bytes: int = 2 << 20
 
     @property
     def components(self) -> int:
@@ -164,7 +164,10 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 def _bags(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return shingle_bags([canonical(t).encode("utf-8", "replace") for t in texts], size)
+    """shingle_bags of texts as they are, in chunks: a worker's tables of powers grow with the longest chunk and stay."""
+    plain = [canonical(t).encode("utf-8", "replace") for t in texts]
+    parts = [(a, *shingle_bags(plain[a:b], size)) for a, b in by_bytes([len(t) for t in plain], 1 << 19)]
+    return tuple(np.concatenate(x) for x in zip(*[(row + a, shingle, count) for a, row, shingle, count in parts]))
 
 
 def overlap(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> int:
@@ -177,7 +180,7 @@ def overlap(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> i
     return int(np.minimum(n_a[hit], n_b[at[hit]]).sum())
 
 
-def overlaps(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_rows: int, width: int = 4096) -> np.ndarray:
+def overlaps(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_rows: int, width: int = 1024) -> np.ndarray:
     """The same for all pairs of some bags, as a matrix. The smaller of two counts is the number of levels
     that both reach, so each (shingle, level) is a feature that a bag has or not, and the overlaps are the products of
     the bags' feature rows. Features of one bag only are left out; the others go `width` at a time."""
