@@ -35,7 +35,7 @@ from . import shared
 from .shared import by_bytes, free_shuffles, prefix_hash, save, text_key, window_hash
 
 PART = 1 << 18
-ANCHORS = "key binary, anchor long, n int"
+ANCHORS = "key binary, anchor long, n int, at long"
 RUNS = "key binary, at long, run binary, bytes binary, lead binary, anchor long, tail binary, lead_at int"
 SORTED = "run binary, starts array<int>, c1 long, c2 long, h1 array<long>, h2 array<long>, off array<int>, alone array<boolean>"
 BLOCK = 16
@@ -99,20 +99,23 @@ def _encode(texts) -> list[bytes]:
 
 
 def _find_anchors(width: int):
+    """A row for each anchor of a text and chunk: n is 2 if it occurs more than once there, `at` its first offset in
+    the text. A long text is several chunks, so an anchor may also repeat between rows of one key, at another offset."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             keys, texts = list(pdf["key"]), _encode(pdf["text"])
             cut = parts(texts, width)
             for a, b in by_bytes([len(p) for _, _, p in cut], PART):
-                piece, _, _, value, twice, _ = anchor_runs([p for _, _, p in cut[a:b]], width)
+                piece, _, _, value, twice, lead = anchor_runs([p for _, _, p in cut[a:b]], width)
                 row = np.array([r for r, _, _ in cut[a:b]])[piece]
-                order = np.lexsort((value, row))
-                row, value, twice = row[order], value[order], twice[order]
+                at = np.array([x for _, x, _ in cut[a:b]])[piece] + lead
+                order = np.lexsort((at, value, row))
+                row, value, twice, at = row[order], value[order], twice[order], at[order]
                 new = np.append(True, (row[1:] != row[:-1]) | (value[1:] != value[:-1]))[: len(row)]
                 head = np.flatnonzero(new)
                 if len(head):
                     n = np.maximum(np.diff(np.append(head, len(row))), 1 + np.maximum.reduceat(twice.astype(np.int64), head))
-                    yield pd.DataFrame({"key": [keys[r] for r in row[head]], "anchor": value[head], "n": np.minimum(n, 2).astype(np.int32)})
+                    yield pd.DataFrame({"key": [keys[r] for r in row[head]], "anchor": value[head], "n": np.minimum(n, 2).astype(np.int32), "at": at[head]})
 
     return run
 
@@ -261,7 +264,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", width: int = 400) -> D
     spark = docs.sparkSession
     plain = docs.select(text_key(text).alias("key"), F.col(text).alias("text")).where(F.octet_length("text") >= width)
     anchors = save(plain.mapInPandas(_find_anchors(width), ANCHORS))
-    elsewhere = anchors.groupBy("anchor").agg(F.min("key").alias("_a"), F.max("key").alias("_b"), F.max("n").alias("_n")).where("_a <> _b OR _n > 1").select("anchor")
+    elsewhere = anchors.groupBy("anchor").agg(F.min("key").alias("_a"), F.max("key").alias("_b"), F.max("n").alias("_n"), F.min("at").alias("_from"), F.max("at").alias("_to")).where("_a <> _b OR _n > 1 OR _from <> _to").select("anchor")
     hot = anchors.select("key", "anchor").join(elsewhere, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
     runs = save(distinct_texts(docs, text).join(hot, "key").select("key", "text", "anchors").mapInPandas(_cut_runs(width), RUNS))
     shared.drop_saved(anchors)

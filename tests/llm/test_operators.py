@@ -294,6 +294,18 @@ def test_repeats(spark, odd, none, buckets, monkeypatch):
         assert kept.columns == odd.columns and kept.count() == odd.count() and suffixes.removal(none).count() == 0
 
 
+def test_repeats_between_parts_of_one_text(spark):
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)).decode() for n in (640_000, 560_000, 540_000)]
+    places = [(0, 10_000, 600_000), (1, 2_000, 2 * suffixes.PART - 120)]
+    for i, a, b in places:
+        texts[i] = texts[i][:b] + texts[i][a : a + 250] + texts[i][b + 250 :]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.removal(df, width=200).collect()}
+    assert [got[i] for i in range(3)] == list(brute_removal(texts, 200))
+    assert [got[i][1] for i in range(3)] == [500, 500, 0]
+
+
 # -- op 10
 
 def test_mixing(odd, none):
