@@ -186,6 +186,18 @@ class _Windows:
         """128 bits for bytes [start, end)."""
         return shared.span_hash(self.one, start, end), shared.span_hash(self.two, start, end)
 
+    def anchors(self, rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, k: int, step: int = 1 << 17) -> np.ndarray:
+        """Positions at which the k-byte anchors (`values`) of these runs occur, ascending as `rows` are."""
+        count = sizes - k + 1
+        ends = np.cumsum(count)
+        out = [np.zeros(0, np.int64)]
+        for a in range(0, int(count.sum()), step):
+            n = np.arange(a, min(a + step, int(ends[-1])))
+            row = np.searchsorted(ends, n, side="right")
+            at = self.base[rows[row]] + n - (ends - count)[row]
+            out.append(at[shared.span_hash(self.one, at, at + k).view(np.int64) == values[row]])
+        return np.concatenate(out)
+
 
 def _ranges(flags: np.ndarray) -> list[int]:
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
@@ -209,16 +221,19 @@ def _sort_bucket(width: int, chunk: int = 1 << 19, most: int = 2 << 20):
             return
         order = pick[np.lexsort((w.h2[pick], w.h1[pick]))]
         pick = np.sort(order[np.append(True, (w.h1[order[1:]] != w.h1[order[:-1]]) | (w.h2[order[1:]] != w.h2[order[:-1]]))])
-        lead_at = np.array([r[4] for r in rows])[w.owner[pick]]
-        # Blocks are counted from the anchor, so equal windows fall into equal blocks; in a run that holds its
-        # anchor twice each window is a block.
-        far = (lead_at - w.off[pick]) // BLOCK
-        block = np.where(lead_at < 0, -1 - w.off[pick], far)
-        head = np.flatnonzero(np.append(True, (w.owner[pick][1:] != w.owner[pick][:-1]) | (block[1:] != block[:-1])))
-        first, single = pick[head], lead_at[head] < 0
-        base = w.base[w.owner[first]]
-        start = base + np.where(single, w.off[first], lead_at[head] - BLOCK * far[head])
-        c1, c2 = w.hashes(start, start + width - np.where(single, 0, BLOCK - 1))
+        # Blocks are counted from the first anchor within the window, so that they depend on the window's bytes alone:
+        # equal windows fall into equal blocks, whether their runs hold the anchor once or more often.
+        own, at = w.owner[pick], w.base[w.owner[pick]] + w.off[pick]
+        lead = w.base[own] + np.array([r[4] for r in rows])[own]
+        twice = lead < w.base[own]
+        if twice.any():
+            several = np.unique(own[twice])
+            hits = w.anchors(several, np.array([rows[i][2][1] for i in several], np.int64), np.array([len(rows[i][1]) for i in several]), width // 2)
+            lead[twice] = hits[np.searchsorted(hits, at[twice])]
+        start = lead - (lead - at) // BLOCK * BLOCK
+        head = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (start[1:] != start[:-1])))
+        first, start = pick[head], start[head]
+        c1, c2 = w.hashes(start, start + width - (BLOCK - 1))
         parts = lambda x: np.split(x[pick], head[1:])
         yield pd.DataFrame({
             "run": [rows[i][0] for i in w.owner[first]], "starts": None, "c1": c1.view(np.int64), "c2": c2.view(np.int64),

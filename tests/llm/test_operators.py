@@ -306,6 +306,23 @@ def test_repeats_between_parts_of_one_text(spark):
     assert [got[i][1] for i in range(3)] == [500, 500, 0]
 
 
+@pytest.mark.parametrize("width", [100, 400])
+def test_repeats_between_runs_with_one_and_more_anchors(spark, width, monkeypatch):
+    sort_bucket = suffixes._sort_bucket
+    monkeypatch.setattr(suffixes, "_sort_bucket", lambda width: sort_bucket(width, chunk=1, most=1))
+    rng = np.random.default_rng(width)
+    letters = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    texts = []
+    for period in (width // 2, width // 2 - 7, 3):
+        for _ in range(3):
+            line = letters(period)
+            few, many = -(-width // period), -(-5 * width // 2 // period)
+            texts += [letters(70) + line * n + letters(90) for n in (many, many + 1, many, few)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.removal(df, width=width).collect()}
+    assert [got[i] for i in range(len(texts))] == list(brute_removal(texts, width))
+
+
 # -- op 10
 
 def test_mixing(odd, none):
