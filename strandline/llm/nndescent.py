@@ -149,7 +149,8 @@ def build_graph(rows: DataFrame, degree: int = 32, trees: int = 4, block: int =
     n = rows.count()
     bits = int(min(40, max(0, np.ceil(np.log2(max(1, n / block))))))
     coded = save(rows.select("id", "dim", "unit").mapInPandas(_project(trees, bits, seed), "id long, dim int, unit binary, codes array<long>, fine array<float>"), 4096)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A range of one row has nothing to compare: no more ranges than blocks, so fewer than 2 * block rows are one range.
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // block))
     lists = None
     for t in range(trees):
         order = ["dim", "code", "place", "id"]

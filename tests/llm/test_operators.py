@@ -128,6 +128,22 @@ def test_nn_descent_recall(vectors):
     assert hit >= 0.9 * 5 * len(queries) and set(got) == set(queries)
 
 
+def test_nearest_of_small_tables(spark):
+    rng = np.random.default_rng(8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        for n, every in ((3, 1), (6, 1), (150, 10)):
+            x = rng.standard_normal((n, 8))
+            got = defaultdict(list)
+            for r in nndescent.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=every).orderBy("rank").collect():
+                got[r.query_id].append(r.vec_id)
+            unit = x / np.linalg.norm(x, axis=1)[:, None]
+            assert got == {i: sorted(set(range(n)) - {i}, key=lambda j: -(unit[i] @ unit[j]))[:5] for i in range(0, n, every)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_ball_tree_exact(vectors):
     x, df = vectors
     got = defaultdict(list)
