@@ -78,16 +78,19 @@ def budgets(leaves: DataFrame, total: Column | int, weights: dict[str, dict[str,
     return leaves.join(given.select(*LEVELS, F.col("given").alias("budget")), list(LEVELS))
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_tenths: int = 6, budget: int | None = None, max_epochs: int = 2, seed: str = "mix-1", range_rows: int = 2_000, domain: Column | None = None, tokens: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_tenths: int = 6, budget: int | None = None, max_epochs: int = 2, seed: str = "mix-1", range_rows: int = 2_000, domain: Column | None = None, tokens: Column | None = None, carry: bool = False) -> DataFrame:
     """One row for each document of which anything is selected: doc_id, the leaf, tokens, `epochs` (times
     it is taken whole), `prefix_tokens` (taken in the epoch after those) and `selected_tokens`.
 
     The budget is `budget` tokens, or that many tenths of all tokens; it is cut to what max_epochs can
     supply. Null lang or source: 'unknown'. A document without tokens is never selected. Rows that repeat
-    are documents each. A null doc_id is ordered as an empty one. An empty table gives no row.
+    are documents each. A null doc_id is ordered as an empty one. An empty table gives no row. With `carry`
+    each row also holds the document it stands for, all columns of `docs` in a struct `row`, which then
+    decides between documents of equal doc_id and tokens.
     """
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     leaf = {"domain": domain_of() if domain is None else domain, "lang": F.coalesce("lang", F.lit("unknown")), "source": F.coalesce("source", F.lit("unknown"))}
-    sized = save(docs.select("doc_id", leaf["domain"].alias("domain"), leaf["lang"].alias("lang"), leaf["source"].alias("source"), (words() if tokens is None else tokens).alias("tokens")).where("tokens > 0"))
+    sized = save(docs.select("doc_id", leaf["domain"].alias("domain"), leaf["lang"].alias("lang"), leaf["source"].alias("source"), (words() if tokens is None else tokens).alias("tokens"), *row).where("tokens > 0"))
     leaves = save(sized.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
     total = budget
     if total is None:
@@ -105,10 +108,10 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_tenths: int
     ends = save(sums.withColumn("_to", running).where("_to - n < rest AND rest <= _to").select(*LEVELS, F.col("_at").alias("_end"), (F.col("_to") - F.col("n")).alias("_start")))
     placed = keyed.join(ends, list(LEVELS), "left")
     inside = placed.where("_at = _end")
-    so_far = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("_key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1))
+    so_far = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("_key", "doc_id", "tokens", *(["row"] if carry else [])).rowsBetween(Window.unboundedPreceding, -1))
     cut = inside.withColumn("prefix_tokens", F.greatest(F.lit(0), F.least("tokens", F.col("rest") - F.col("_start") - F.coalesce(so_far, F.lit(0)))))
     other = placed.where("_end IS NULL OR _at <> _end").withColumn("prefix_tokens", F.when(F.col("_at") < F.col("_end"), F.col("tokens")).otherwise(F.lit(0)))
-    columns = ["doc_id", *LEVELS, "tokens", "epochs", F.col("prefix_tokens").cast("long").alias("prefix_tokens")]
+    columns = ["doc_id", *LEVELS, "tokens", "epochs", F.col("prefix_tokens").cast("long").alias("prefix_tokens"), *(["row"] if carry else [])]
     out = cut.select(*columns).unionByName(other.select(*columns))
     return out.withColumn("selected_tokens", F.col("epochs") * F.col("tokens") + F.col("prefix_tokens")).where("selected_tokens > 0")
 

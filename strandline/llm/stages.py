@@ -40,9 +40,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes something stay, whole."""
-    chosen = mixing.mix(docs, mixing.WEIGHTS, budget_tenths=BUDGET_TENTHS, max_epochs=1, seed=mixing.SEED)
-    return docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents of which the mix takes something stay, whole. Rows carry their own selection: ids may be null or repeat."""
+    chosen = mixing.mix(docs, mixing.WEIGHTS, budget_tenths=BUDGET_TENTHS, max_epochs=1, seed=mixing.SEED, carry=True)
+    return chosen.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,13 @@
 """The pipeline's stages against brute force on the smallest documents table."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 
 import corpus_pipeline
 from strandline.llm import langid, mixing, neardup, suffixes
 from strandline.llm.shared import save
-from strandline.llm.stages import BUDGET_TENTHS, REPEAT_BYTES
+from strandline.llm.stages import BUDGET_TENTHS, REPEAT_BYTES, mixing_sources
 
 from .test_operators import brute_removal, check_pieces
 
@@ -48,6 +48,17 @@ def test_stages(spark, sf):
     assert check_pieces(list(zip(mixed.doc_id, mixed.text)), list(packed.itertuples()), 1024) > 0.9
 
 
+def test_mixing_stage_with_null_and_repeated_ids(spark, sf):
+    rows = [(None if i % 3 == 0 else i if i % 3 == 1 else 7, f"t{i} " + "w " * (i % 11), "en" if i % 2 else None, f"src{i % 5}" if i % 4 else None) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    chosen = mixing.mix(docs, mixing.WEIGHTS, budget_tenths=BUDGET_TENTHS, max_epochs=1, seed=mixing.SEED).collect()
+    got = mixing_sources(spark, docs, sf).collect()
+    name = lambda x: "unknown" if x is None else x
+    want = Counter((r.doc_id, r.lang, r.source, r.tokens) for r in chosen)
+    assert Counter((r.doc_id, name(r.lang), name(r.source), len(r.text.split())) for r in got) == want
+    assert not Counter(map(tuple, got)) - Counter(rows) and {None, 7} <= {r.doc_id for r in got} and len(got) < len(rows)
+
+
 def test_whole_characters():
     import numpy as np
 
