@@ -2,8 +2,8 @@
 
 `encoder()` gives the ids of a public `tokenizers` file. A byte-level BPE file is run by tiktoken, which
 gives the same ids from the same vocabulary several times faster (tests compare the two); any other file,
-and any text that tiktoken refuses, goes through `tokenizers` itself. Strings of special tokens inside a
-text are ordinary text.
+and any text that tiktoken refuses, goes through `tokenizers` itself. So do texts that hold a string of an
+added token: the operators give it that token's id, as `tokenizers` does by default.
 """
 
 from __future__ import annotations
@@ -38,12 +38,13 @@ def _byte_of_char() -> dict[str, int]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """text -> ids of the tokenizer in `path`, without special tokens."""
+def encoder(path: str, added: bool = False) -> Callable[[str], list[int]]:
+    """text -> ids of the tokenizer in `path`, without special tokens around them. Strings of special tokens inside
+    a text are ordinary text, or with `added` those tokens, as in a call of `tokenizers` with its default flags."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    slow.encode_special_tokens = not added
 
     def plain(text: str) -> list[int]:
         return slow.encode(text, add_special_tokens=False).ids
@@ -58,8 +59,11 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     byte_of, special = _byte_of_char(), {t["content"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("from-file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    own = sorted(special) if added else []
 
     def encode(text: str) -> list[int]:
+        if any(t in text for t in own):
+            return plain(text)
         try:
             return fast.encode_ordinary(text)
         except (ValueError, UnicodeEncodeError):
@@ -74,7 +78,7 @@ def encoded_length(docs: DataFrame, text: str = "text", tokenizer: str | None =
 
     @F.pandas_udf("long")
     def length(texts: pd.Series) -> pd.Series:
-        encode = encoder(path)
+        encode = encoder(path, added=True)
         return pd.Series([len(encode(t)) + 1 if t else 1 for t in texts], dtype="int64")
 
     return docs.withColumn("n_tokens", length(F.col(text))).drop(text)
@@ -129,6 +133,6 @@ def quantiles(hist: DataFrame, qs: list[float], by: tuple[str, ...] = ()) -> Dat
 
 def ids_batches(frames: Iterator[pd.DataFrame], text: str, path: str) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
     """Each batch with the ids of each of its rows, end id included."""
-    encode = encoder(path)
+    encode = encoder(path, added=True)
     for pdf in frames:
         yield pdf, [np.array((encode(t) if t else []) + [END_ID], dtype="<u4") for t in pdf[text]]

@@ -242,6 +242,19 @@ def test_length_histogram(odd, none):
     assert tokens.length_histogram(none).count() == 0
 
 
+def test_added_tokens_inside_texts(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokens.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n  don't", "<|endoftext| >", "Ünï plain"]
+    ids = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in ids[0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.length, r.ids_crc32) for r in packing.pack(df).collect()}
+    assert got == {i: (0, len(x) + 1, zlib.crc32(np.array(x + [0], "<u4").tobytes())) for i, x in enumerate(ids)}
+    assert {r.length: r.n_docs for r in tokens.length_histogram(df).collect()} == Counter(len(x) + 1 for x in ids)
+
+
 # -- op 5
 
 def test_warc_round_trip(spark):
