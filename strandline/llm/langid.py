@@ -11,20 +11,19 @@ The fit reads a bounded sample: about `per_language` texts of each language, cho
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes
+from .shared import by_bytes, release, tidy
 
 GRAMS = 256 + (1 << 16) + (1 << 24)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNDECIDED = "und"
 
 
@@ -42,7 +41,6 @@ class Model:
     weights: np.ndarray  # grams x languages
     bias: np.ndarray
     sharpness: float = 4.0
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def scores(self, presence: np.ndarray) -> np.ndarray:
         """Probabilities from a presence matrix (texts x grams)."""
@@ -132,23 +130,16 @@ def train(docs: DataFrame, per_language: int = 400, max_languages: int = 2000, l
                     out.append((int(k), lang, np.unique(np.concatenate(gram_ids(data))).astype(np.int32)))
             yield pd.DataFrame(out, columns=["doc_id", "lang", "ids"])
 
-    sample = rows.where(place < rate[F.col("lang")]).mapInPandas(grams, "doc_id long, lang string, ids array<int>").collect()
+    sample = rows.where(place < rate[F.col("lang")]).mapInPandas(tidy(grams), "doc_id long, lang string, ids array<int>").collect()
     sample.sort(key=lambda r: (r["lang"], r["doc_id"], r["ids"]))
     return fit([r["lang"] for r in sample], [np.array(r["ids"], np.int32) for r in sample], landmarks)
 
 
-_tables: dict[str, np.ndarray] = {}
-
-
 def _table(model: Model) -> np.ndarray:
-    """n-gram id -> column, kept by a worker for the model it last used."""
-    if model.name not in _tables:
-        _tables.clear()
-        small = np.uint16 if len(model.grams) < (1 << 16) - 1 else np.int32
-        t = np.full(GRAMS, len(model.grams), small)
-        t[model.grams] = np.arange(len(model.grams))
-        _tables[model.name] = t
-    return _tables[model.name]
+    """n-gram id -> column: 32 MB, made by each task anew and freed with it."""
+    out = np.full(GRAMS, len(model.grams), np.uint16 if len(model.grams) < (1 << 16) - 1 else np.int32)
+    out[model.grams] = np.arange(len(model.grams))
+    return out
 
 
 def with_language(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -159,9 +150,12 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", pred: str =
     @F.pandas_udf("pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
+        table = _table(m)
         for s in batches:
-            langs, scores = m.predict(list(s), _table(m))
+            langs, scores = m.predict(list(s), table)
             yield pd.DataFrame({"pred": langs, "score": scores})
+        del table
+        release()
 
     out = docs.withColumn("_p", predict(F.col(text)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (pred, score)], F.col("_p.pred").alias(pred), F.col("_p.score").alias(score))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import by_bytes, drop_saved, free_shuffles, mix, prefix_hash, save, span_hash, text_key
+from .shared import by_bytes, drop_saved, free_shuffles, mix, prefix_hash, save, span_hash, text_key, tidy
 
 NOT_WORD = re.compile(r"\W+")
 
@@ -230,7 +230,7 @@ def verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
     first = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "ta"}), "a")
     both = first.join(texts.withColumnsRenamed({"key": "b", "text": "tb"}), "b")
-    return save(both.select("a", "ta", "b", "tb").mapInPandas(run, "a binary, b binary"), 256)
+    return save(both.select("a", "ta", "b", "tb").mapInPandas(tidy(run), "a binary, b binary"), 256)
 
 
 def _labelled(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
@@ -290,7 +290,7 @@ def _blocks(members: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
             yield done()
 
     spread = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return save(spread.mapInPandas(compare, "a binary, b binary"), 256)
+    return save(spread.mapInPandas(tidy(compare), "a binary, b binary"), 256)
 
 
 def text_classes(docs: DataFrame, text: str = "text", p: Params = Params()) -> DataFrame:
@@ -298,7 +298,7 @@ def text_classes(docs: DataFrame, text: str = "text", p: Params = Params()) -> D
     smallest of its class. Exact copies have one key and are no pair here. Texts without a word take no part."""
     spark = docs.sparkSession
     keyed = docs.select(text_key(text).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    bands = save(keyed.mapInPandas(_band_rows(p), "key binary, bands array<long>").dropDuplicates(["key"]))
+    bands = save(keyed.mapInPandas(tidy(_band_rows(p)), "key binary, bands array<long>").dropDuplicates(["key"]))
     exploded = bands.select("key", F.explode("bands").alias("bucket"))
     buckets = save(exploded.groupBy("bucket").agg(F.min("key").alias("pivot"), F.max("key").alias("_last"), F.count("*").alias("members")).where("pivot <> _last").drop("_last"))
     members = save(exploded.join(buckets, "bucket"))

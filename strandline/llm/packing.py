@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import save
+from .shared import save, tidy
 from .tokens import default_tokenizer, ids_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, padded_to long"
@@ -176,4 +176,4 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: st
 
     bears = F.lit(True) if loss_mask is None else F.coalesce(loss_mask.cast("boolean"), F.lit(True))
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), bears.alias("bears"))
-    return save(rows.mapInPandas(run, SCHEMA), 1024)
+    return save(rows.mapInPandas(tidy(run), SCHEMA), 1024)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +71,31 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, a function from batches to batches, which at its end gives the worker's free memory back to the system:
+    workers outlive their tasks, and what they hold counts while other stages run."""
+
+    @functools.wraps(run)
+    def tidied(frames: Iterator) -> Iterator:
+        try:
+            yield from run(frames)
+        finally:
+            release()
+
+    return tidied
+
+
+def release() -> None:
+    """Drop the tables of powers, Arrow's free buffers and the allocator's free pages of this process."""
+    global _powers, _inverse
+    _powers, _inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_key(text: str | Column = "text") -> Column:
     """16 bytes that identify a text: the head of its SHA-256. A null text counts as empty."""
     col = F.col(text) if isinstance(text, str) else text
@@ -86,7 +114,7 @@ _inverse = np.ones(1, np.uint64)
 def _grow(n: int) -> None:
     global _powers, _inverse
     if len(_powers) < n:
-        size = max(n, 1 << 20)
+        size = max(1 << 16, 1 << (n - 1).bit_length())
         for name, root in (("_powers", _BASE), ("_inverse", pow(_BASE, -1, 1 << 64))):
             a = np.full(size, root, np.uint64)
             a[0] = 1

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .shared import by_bytes, free_shuffles, prefix_hash, save, text_key, window_hash
+from .shared import by_bytes, free_shuffles, prefix_hash, save, text_key, tidy, window_hash
 
 PART = 1 << 18
 ANCHORS = "key binary, anchor long, n int, at long"
@@ -278,16 +278,16 @@ def repeated_windows(docs: DataFrame, text: str = "text", width: int = 400) -> D
         raise ValueError("width must be at least 16 bytes")
     spark = docs.sparkSession
     plain = docs.select(text_key(text).alias("key"), F.col(text).alias("text")).where(F.octet_length("text") >= width)
-    anchors = save(plain.mapInPandas(_find_anchors(width), ANCHORS))
+    anchors = save(plain.mapInPandas(tidy(_find_anchors(width)), ANCHORS))
     elsewhere = anchors.groupBy("anchor").agg(F.min("key").alias("_a"), F.max("key").alias("_b"), F.max("n").alias("_n"), F.min("at").alias("_from"), F.max("at").alias("_to")).where("_a <> _b OR _n > 1 OR _from <> _to").select("anchor")
     hot = anchors.select("key", "anchor").join(elsewhere, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-    runs = save(distinct_texts(docs, text).join(hot, "key").select("key", "text", "anchors").mapInPandas(_cut_runs(width), RUNS))
+    runs = save(distinct_texts(docs, text).join(hot, "key").select("key", "text", "anchors").mapInPandas(tidy(_cut_runs(width)), RUNS))
     shared.drop_saved(anchors)
     free_shuffles(spark)
     merged = runs.groupBy("run").agg(F.first("bytes").alias("bytes"), F.first("lead").alias("lead"), F.first("anchor").alias("anchor"), F.first("tail").alias("tail"), F.first("lead_at").alias("lead_at"), (F.count("*") > 1).alias("many"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["lead", "anchor", "tail", "run"]
-    found = save(merged.repartitionByRange(buckets, *order).sortWithinPartitions(*order).mapInPandas(_sort_bucket(width), SORTED), 2048)
+    found = save(merged.repartitionByRange(buckets, *order).sortWithinPartitions(*order).mapInPandas(tidy(_sort_bucket(width)), SORTED), 2048)
     blocks = found.where("starts IS NULL")
     cores = blocks.groupBy("c1", "c2").agg(F.count("*").alias("_n")).where("_n > 1").select("c1", "c2")
     opened = F.explode(F.arrays_zip("h1", "h2", "off", "alone"))
@@ -357,7 +357,7 @@ def removal(docs: DataFrame, text: str = "text", width: int = 400) -> DataFrame:
             yield pd.DataFrame(out, columns=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     texts = distinct_texts(docs, text).join(starts, "key", "left").select("key", "text", "copies", "starts")
-    results = save(texts.mapInPandas(run, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    results = save(texts.mapInPandas(tidy(run), "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
     return docs.select("doc_id", text_key(text).alias("key")).join(results, "key").drop("key")
 
 
@@ -368,16 +368,17 @@ def strip_repeats(docs: DataFrame, text: str = "text", width: int = 200) -> Data
     copies = docs.groupBy(text_key(text).alias("key")).agg(F.count("*").alias("copies"))
     marks = copies.join(starts, "key", "left").where(F.col("starts").isNotNull() | (F.col("copies") > 1))
 
+    def rest(t: str | None, n: float, s: np.ndarray | None) -> str | None:
+        if t is None or (s is None and not n > 1):
+            return t
+        data = t.encode("utf-8", "surrogatepass")
+        return without(data, whole_characters(data, cover(s, len(data), int(n) if n == n else 1, width))).decode("utf-8", "replace")
+
     @F.pandas_udf("string")
-    def strip(texts: pd.Series, counts: pd.Series, own: pd.Series) -> pd.Series:
-        out = []
-        for t, n, s in zip(texts, counts, own):
-            if t is None or (s is None and not n > 1):
-                out.append(t)
-                continue
-            data = t.encode("utf-8", "surrogatepass")
-            out.append(without(data, whole_characters(data, cover(s, len(data), int(n) if n == n else 1, width))).decode("utf-8", "replace"))
-        return pd.Series(out, dtype=object)
+    def strip(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([rest(*row) for row in zip(*batch)], dtype=object)
+        shared.release()
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
     joined = docs.withColumn("_key", text_key(text)).join(marks.withColumnsRenamed({"key": "_key", "copies": "_copies", "starts": "_starts"}), "_key", "left")

@@ -9,6 +9,7 @@ added token: the operators give it that token's id, as `tokenizers` does by defa
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -37,37 +38,46 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: A run of more blanks than this goes to `tokenizers`: the pattern engine of tiktoken backtracks over a run and gives up, with an
+#: error that is no Exception, at about a million.
+LONG_RUN = re.compile(r"\s{10000}")
+
+
 @lru_cache(maxsize=4)
-def encoder(path: str, added: bool = False) -> Callable[[str], list[int]]:
-    """text -> ids of the tokenizer in `path`, without special tokens around them. Strings of special tokens inside
-    a text are ordinary text, or with `added` those tokens, as in a call of `tokenizers` with its default flags."""
+def _plain(path: str, added: bool) -> Callable[[str], list[int]]:
+    """`tokenizers` itself; loaded when a text first needs it."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
     slow.encode_special_tokens = not added
+    return lambda text: slow.encode(text, add_special_tokens=False).ids
 
-    def plain(text: str) -> list[int]:
-        return slow.encode(text, add_special_tokens=False).ids
 
+@lru_cache(maxsize=4)
+def encoder(path: str, added: bool = False) -> Callable[[str], list[int]]:
+    """text -> ids of the tokenizer in `path`, without special tokens around them. Strings of special tokens inside
+    a text are ordinary text, or with `added` those tokens, as in a call of `tokenizers` with its default flags."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
     if not (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"):
-        return plain
+        return _plain(path, added)
     import tiktoken
 
     byte_of, special = _byte_of_char(), {t["content"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("from-file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    fast._mergeable_ranks = {}  # its Rust core has a copy
     own = sorted(special) if added else []
+    del spec, ranks
 
     def encode(text: str) -> list[int]:
-        if any(t in text for t in own):
-            return plain(text)
+        if any(t in text for t in own) or LONG_RUN.search(text):
+            return _plain(path, added)(text)
         try:
             return fast.encode_ordinary(text)
         except (ValueError, UnicodeEncodeError):
-            return plain(text)
+            return _plain(path, added)(text)
 
     return encode
 
