@@ -12,13 +12,14 @@ would move `width` bytes for each byte of text, so suffixes travel in runs, foun
 Distinct runs are range-partitioned by leading tokens (the head of the anchor, its hash, then what follows
 the anchor and the run's id, so that one very common anchor is spread over many buckets while runs that go
 on alike stay together), with splitters that Spark samples.
-Each bucket sorts its suffixes by multikey quicksort: by the first eight bytes, and only ties further, by
-128 bits of hash for the rest of the window; equal neighbours repeat. Suffixes of the anchor at either end
-of a bucket may have equals across the boundary. Of those, each bucket gives out one hash a group of ties,
-in blocks of 16 neighbours with the hash of the bytes that the block's windows share; only blocks whose
-core occurs in another place too are opened, and hashes of two buckets mark what was alone in its own.
-
-No window is sampled, capped or dropped. Equality of windows, runs and texts is that of 128-bit hashes.
+Each bucket sorts its suffixes by multikey quicksort on their bytes: by the first eight, then each group of ties
+by the next eight, and so on to the end of the window; what still ties is equal. Suffixes of the anchor at either end
+of a bucket may have equals across the boundary. Of those, each bucket gives out one digest a group of ties,
+in blocks of 16 neighbours with the digest of the bytes that the block's windows share; only blocks whose
+core occurs in another place too are opened, and digests of two buckets mark what was alone in its own.
+
+No window is sampled, capped or dropped. Within a bucket equality is that of the bytes; whole texts, runs and windows of different
+buckets are compared by 128 bits of SHA-256 or BLAKE2. The rolling hashes only choose anchors: if two strings had the same, that would add candidates.
 """
 
 from __future__ import annotations
@@ -142,60 +143,69 @@ def _cut_runs(width: int):
     return run
 
 
-def multikey_ties(characters: list[np.ndarray]) -> np.ndarray:
-    """Three-way radix quicksort over rows of `characters`: sort by the first, then each group of ties by the
-    next. True for rows that tie with another in all of them."""
-    n = len(characters[0])
-    active, group = np.arange(n), np.zeros(n, np.int64)
-    for depth, c in enumerate(characters):
-        own = c[active]
-        order = np.argsort(own, kind="stable") if depth == 0 else np.lexsort((own, group))
-        active, own, group = active[order], own[order], group[order]
-        new = np.append(True, (own[1:] != own[:-1]) | (group[1:] != group[:-1]))[: len(own)]
-        group = np.cumsum(new) - 1
-        many = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, bool)
-        active, group = active[many], group[many]
-    out = np.zeros(n, bool)
-    out[active] = True
+def multikey_groups(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Multikey quicksort of the windows that start at `at`, by characters of eight bytes (words[i]: those at i): sort by
+    the first character, then each group of ties by the next. The group of each window: -1 for one without an equal."""
+    out = np.full(len(at), -1, np.int64)
+    n = len(at) if len(at) > 1 else 0
+    rows, group = np.arange(n), np.zeros(n, np.int64)
+    for depth in range(-(-width // 8)):
+        if not len(rows):
+            break
+        c = words[at[rows] + min(8 * depth, width - 8)]
+        head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        differs = c != c[head][group]
+        if not differs.any():
+            continue  # all groups tie in this character
+        split = np.zeros(len(head), bool)
+        split[group[differs]] = True
+        part = np.flatnonzero(split[group])
+        order = part[np.lexsort((c[part], group[part]))]
+        rows[part], c[part] = rows[order], c[order]
+        new = np.append(True, (group[1:] != group[:-1]) | (c[1:] != c[:-1]))
+        label = np.cumsum(new) - 1
+        many = np.bincount(label)[label] > 1
+        rows, group = rows[many], np.cumsum(new[many]) - 1
+    out[rows] = group
     return out
 
 
-_OTHER = np.random.default_rng(77).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 class _Windows:
-    """The windows of some runs: for each its run (owner), its offset there, first eight bytes, two hashes."""
+    """The windows of some runs: for each its run (owner), its offset there and its place in `data`."""
 
     def __init__(self, runs: list[bytes], width: int) -> None:
-        data = np.frombuffer(b"".join(runs), np.uint8)
+        self.bytes = b"".join(runs)
+        self.data = np.frombuffer(self.bytes, np.uint8)
         sizes = np.array([len(r) for r in runs])
         count = sizes - width + 1
         self.base = np.cumsum(sizes) - sizes
         self.owner = np.repeat(np.arange(len(runs)), count)
         self.off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        at = self.base[self.owner] + self.off
-        self.one, n = prefix_hash(data), len(data)
-        self.two = np.zeros(n + 1, np.uint64)
-        np.cumsum(_OTHER[data] * shared._powers[:n], out=self.two[1:], dtype=np.uint64)
-        self.h1, self.h2 = self.hashes(at, at + width)
-        self.head = np.zeros(len(at), np.uint64)
+        self.at = self.base[self.owner] + self.off
+
+    def words(self) -> np.ndarray:
+        """At each place the next eight bytes as a number that sorts as they do."""
+        out = np.zeros(len(self.data) - 7, np.uint64)
         for i in range(8):
-            self.head = (self.head << np.uint64(8)) | data[at + i]
+            out = (out << np.uint64(8)) | self.data[i : len(out) + i]
+        return out
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits for bytes [start, end)."""
-        return shared.span_hash(self.one, start, end), shared.span_hash(self.two, start, end)
+    def digests(self, start: np.ndarray, size: int) -> np.ndarray:
+        """128 bits, as two numbers, for `size` bytes from each start."""
+        view = memoryview(self.bytes)
+        return np.frombuffer(b"".join(hashlib.blake2b(view[a : a + size], digest_size=16).digest() for a in start.tolist()), np.int64).reshape(-1, 2)
 
     def anchors(self, rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, k: int, step: int = 1 << 17) -> np.ndarray:
         """Positions at which the k-byte anchors (`values`) of these runs occur, ascending as `rows` are."""
         count = sizes - k + 1
         ends = np.cumsum(count)
+        prefix = prefix_hash(self.data)
         out = [np.zeros(0, np.int64)]
         for a in range(0, int(count.sum()), step):
             n = np.arange(a, min(a + step, int(ends[-1])))
             row = np.searchsorted(ends, n, side="right")
             at = self.base[rows[row]] + n - (ends - count)[row]
-            out.append(at[shared.span_hash(self.one, at, at + k).view(np.int64) == values[row]])
+            out.append(at[shared.span_hash(prefix, at, at + k).view(np.int64) == values[row]])
         return np.concatenate(out)
 
 
@@ -211,7 +221,8 @@ def _sort_bucket(width: int, chunk: int = 1 << 19, most: int = 2 << 20):
     def sort(rows: list[tuple], edge: set) -> Iterator[pd.DataFrame]:
         w = _Windows([r[1] for r in rows], width)
         many = np.array([r[3] for r in rows])
-        tied = multikey_ties([w.head, w.h1, w.h2]) | many[w.owner]
+        group = multikey_groups(w.words(), w.at, width)
+        tied = (group >= 0) | many[w.owner]
         bounds = np.searchsorted(w.owner, np.arange(len(rows) + 1))
         out = [(r[0], found) for i, r in enumerate(rows) if (found := _ranges(tied[bounds[i] : bounds[i + 1]]))]
         if out:
@@ -219,11 +230,11 @@ def _sort_bucket(width: int, chunk: int = 1 << 19, most: int = 2 << 20):
         pick = np.flatnonzero(np.array([r[2] in edge for r in rows])[w.owner])
         if not len(pick):
             return
-        order = pick[np.lexsort((w.h2[pick], w.h1[pick]))]
-        pick = np.sort(order[np.append(True, (w.h1[order[1:]] != w.h1[order[:-1]]) | (w.h2[order[1:]] != w.h2[order[:-1]]))])
+        _, first = np.unique(group[pick], return_index=True)
+        pick = np.sort(np.concatenate([pick[group[pick] < 0], pick[first][group[pick[first]] >= 0]]))
         # Blocks are counted from the first anchor within the window, so that they depend on the window's bytes alone:
         # equal windows fall into equal blocks, whether their runs hold the anchor once or more often.
-        own, at = w.owner[pick], w.base[w.owner[pick]] + w.off[pick]
+        own, at = w.owner[pick], w.at[pick]
         lead = w.base[own] + np.array([r[4] for r in rows])[own]
         twice = lead < w.base[own]
         if twice.any():
@@ -233,11 +244,11 @@ def _sort_bucket(width: int, chunk: int = 1 << 19, most: int = 2 << 20):
         start = lead - (lead - at) // BLOCK * BLOCK
         head = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (start[1:] != start[:-1])))
         first, start = pick[head], start[head]
-        c1, c2 = w.hashes(start, start + width - (BLOCK - 1))
-        parts = lambda x: np.split(x[pick], head[1:])
+        core, whole = w.digests(start, width - (BLOCK - 1)), w.digests(at, width)
+        parts = lambda x: np.split(x, head[1:])
         yield pd.DataFrame({
-            "run": [rows[i][0] for i in w.owner[first]], "starts": None, "c1": c1.view(np.int64), "c2": c2.view(np.int64),
-            "h1": parts(w.h1.view(np.int64)), "h2": parts(w.h2.view(np.int64)), "off": parts(w.off.astype(np.int32)), "alone": parts(~tied),
+            "run": [rows[i][0] for i in w.owner[first]], "starts": None, "c1": core[:, 0], "c2": core[:, 1],
+            "h1": parts(whole[:, 0]), "h2": parts(whole[:, 1]), "off": parts(w.off[pick].astype(np.int32)), "alone": parts(~tied[pick]),
         })
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -344,7 +355,8 @@ def removal(docs: DataFrame, text: str = "text", width: int = 400) -> DataFrame:
 
     A byte goes if a string of `width` bytes that also starts anywhere else covers it. Null text: empty.
     Texts shorter than `width` stay whole; texts of which there are exact copies of that length go whole. Rows that
-    repeat are copies of each other; an empty table gives no row.
+    repeat are copies of each other, whatever their doc_id, which may be null. Very long texts are read in parts that overlap, so nothing is lost at a cut.
+    Only `text` and doc_id are looked at; an empty table gives no row.
     """
     starts = repeated_windows(docs, text, width)
 
@@ -363,7 +375,8 @@ def removal(docs: DataFrame, text: str = "text", width: int = 400) -> DataFrame:
 
 def strip_repeats(docs: DataFrame, text: str = "text", width: int = 200) -> DataFrame:
     """`docs` with repeated strings of `width` bytes or more taken out of their texts, at whole characters.
-    Rows whose text does not change are kept as they are (null texts too)."""
+    Rows whose text does not change are kept as they are (null and empty texts too); rows that repeat, and texts of that length that
+    have exact copies, lose their whole text. Other columns stay, whatever their names; an empty table stays empty."""
     starts = repeated_windows(docs, text, width)
     copies = docs.groupBy(text_key(text).alias("key")).agg(F.count("*").alias("copies"))
     marks = copies.join(starts, "key", "left").where(F.col("starts").isNotNull() | (F.col("copies") > 1))
@@ -381,5 +394,6 @@ def strip_repeats(docs: DataFrame, text: str = "text", width: int = 200) -> Data
         shared.release()
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.withColumn("_key", text_key(text)).join(marks.withColumnsRenamed({"key": "_key", "copies": "_copies", "starts": "_starts"}), "_key", "left")
-    return joined.withColumn(text, strip(F.col(text), F.col("_copies"), F.col("_starts"))).select(*columns)
+    own = {c: shared.unused(docs, c) for c in ("key", "copies", "starts")}
+    joined = docs.withColumn(own["key"], text_key(text)).join(marks.withColumnsRenamed(own), own["key"], "left")
+    return joined.withColumn(text, strip(F.col(text), F.col(own["copies"]), F.col(own["starts"]))).select(*columns)
