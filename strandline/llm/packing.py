@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import save, tidy
-from .tokens import default_tokenizer, ids_batches
+from .tokens import bears_loss, default_tokenizer, ids_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, padded_to long"
 
@@ -140,12 +140,14 @@ def _pack_group(meta: list[tuple], limits: Limits, first_sequence: int, pad_powe
     return out, sequence
 
 
-def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, limits: Limits = Limits(), group_rows: int = 8192, group_tokens: int = 8_000_000, loss_mask: Column | None = None, pad_power: bool = False) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, limits: Limits = Limits(), group_rows: int = 8192, group_tokens: int = 8_000_000, loss_mask: Column | None = None, loss_spans: Column | None = None, pad_power: bool = False) -> DataFrame:
     """Pieces of all documents, one row each; see the module for the method.
 
     `loss_mask`: an expression that is false for documents (prompts, say) none of whose tokens bear loss;
-    true for all by default. A null or empty text is one piece of one token, its end id. Rows that repeat
-    are packed each; a null key stays null; an empty table gives no row. `padded_to` is the length the
+    true for all by default. `loss_spans`: an array of structs (start, end), the ranges of a text's characters whose tokens bear loss (responses,
+    say, between prompts); where it is null the mask alone decides. A null or empty text is one piece of one token, its end id. Rows that repeat
+    are packed each; a null key stays null; very long texts are encoded whole and cut into full pieces; which of equal pieces goes first is by their order
+    in the task. Columns besides `text`, `key` and those of the expressions are not looked at; an empty table gives no row. `padded_to` is the length the
     sequence is padded to: `max_tokens`, or the next power of two with `pad_power`.
     """
     path = tokenizer or default_tokenizer()
@@ -162,8 +164,8 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: st
             return out.astype({c: "Int64" if c == "doc_id" else "int64" for c in out.columns})
 
         for pdf, ids in ids_batches(frames, "t", path):
-            for k, bears, own in zip(pdf["k"], pdf["bears"], ids):
-                mask = None if bears else np.zeros(len(own), bool)
+            for k, t, bears, spans, own in zip(pdf["k"], pdf["t"], pdf["bears"], pdf["spans"], ids):
+                mask = np.zeros(len(own), bool) if not bears else None if spans is None else bears_loss(t, spans, path)
                 waiting.append((None if pd.isna(k) else int(k), own, mask))
                 held += len(own)
                 if len(waiting) >= group_rows or held >= group_tokens:
@@ -175,5 +177,6 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: st
             yield frame(rows)
 
     bears = F.lit(True) if loss_mask is None else F.coalesce(loss_mask.cast("boolean"), F.lit(True))
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), bears.alias("bears"))
+    spans = (F.lit(None) if loss_spans is None else loss_spans).cast("array<struct<start:int,end:int>>")
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), bears.alias("bears"), spans.alias("spans"))
     return save(rows.mapInPandas(tidy(run), SCHEMA), 1024)

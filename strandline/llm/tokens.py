@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import save
@@ -44,13 +44,29 @@ LONG_RUN = re.compile(r"\s{10000}")
 
 
 @lru_cache(maxsize=4)
-def _plain(path: str, added: bool) -> Callable[[str], list[int]]:
+def _tokenizer(path: str, added: bool):
     """`tokenizers` itself; loaded when a text first needs it."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
     slow.encode_special_tokens = not added
-    return lambda text: slow.encode(text, add_special_tokens=False).ids
+    return slow
+
+
+def _plain(path: str, added: bool) -> Callable[[str], list[int]]:
+    return lambda text: _tokenizer(path, added).encode(text, add_special_tokens=False).ids
+
+
+def bears_loss(text: str | None, spans: list, path: str) -> np.ndarray:
+    """For each id of a text, end id included, whether its first character lies in one of the spans [start, end) of characters.
+    The end id bears loss if a span reaches the text's end."""
+    text = text or ""
+    first = np.array([a for a, _ in _tokenizer(path, True).encode(text, add_special_tokens=False).offsets], np.int64)
+    out = np.zeros(len(first) + 1, bool)
+    for s in spans:
+        out[:-1] |= (first >= s["start"]) & (first < s["end"])
+        out[-1] |= s["end"] >= len(text)
+    return out
 
 
 @lru_cache(maxsize=4)
@@ -97,11 +113,12 @@ def encoded_length(docs: DataFrame, text: str = "text", tokenizer: str | None =
 def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Exact histogram of encoded lengths with suffix sums, for each value of the columns `by`.
 
-    One row a length L that occurs: `n_docs`, `n_tokens` (L * n_docs), `docs_from` and `tokens_from` (over
-    all documents of length L or more), `docs_below`, `tokens_below`. With it any context limit c is
-    answered without reading a text again, by `at_limits`. Equal texts are encoded as often as they
-    occur; rows that repeat count each time; a null or empty text has length 1 (its end id); an empty
-    table gives no row.
+    One row a length L that occurs: `n_docs`, `n_tokens` (L * n_docs); suffix sums `docs_from` and `tokens_from` (over
+    all documents of length L or more); `docs_below`, `tokens_below`; and what they answer: `share_up_to` (part of the
+    documents of length L or less, from which quantiles are read) and `tokens_at_limit` (tokens in all when each document is cut to L).
+    Limits between two lengths are answered by `at_limits` without reading a text again. Equal texts are encoded as often as they
+    occur; rows that repeat count each time; very long texts are encoded whole; a null or empty text has length 1 (its end id); columns
+    besides `text` and `by` are not looked at; an empty table gives no row.
     """
     lengths = encoded_length(docs.select(*by, text), text, tokenizer)
     counts = save(lengths.groupBy(*by, "n_tokens").agg(F.count("*").alias("n_docs")), 1024)
@@ -112,33 +129,32 @@ def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str | None
         "docs_from": F.sum("n_docs").over(up), "tokens_from": F.sum("n_tokens").over(up),
         "_docs": F.sum("n_docs").over(full), "_tokens": F.sum("n_tokens").over(full),
     })
-    return out.withColumns({"docs_below": F.col("_docs") - F.col("docs_from"), "tokens_below": F.col("_tokens") - F.col("tokens_from")}).drop("_docs", "_tokens")
+    out = out.withColumns({"docs_below": F.col("_docs") - F.col("docs_from"), "tokens_below": F.col("_tokens") - F.col("tokens_from")})
+    out = out.withColumns({"share_up_to": (F.col("docs_below") + F.col("n_docs")) / F.col("_docs"), "tokens_at_limit": F.col("tokens_below") + F.col("length") * F.col("docs_from")})
+    return out.drop("_docs", "_tokens")
 
 
 def at_limits(hist: DataFrame, limits: list[int], by: tuple[str, ...] = ()) -> DataFrame:
     """For each context limit: documents and tokens in all, documents that fit, documents cut, and tokens
-    kept when each document is cut to the limit: tokens below it, plus the limit for every longer one."""
-    fits = lambda c, x: F.sum(F.when(F.col("length") <= c, F.col(x)).otherwise(0))
+    kept when each document is cut to the limit. Read from the suffix sums of the first length above the limit: the documents from there on
+    are cut, and what lies below them is kept whole."""
     rows = F.array(*[F.struct(F.lit(int(c)).cast("long").alias("limit")) for c in limits])
-    return (
-        hist.withColumn("l", F.explode(rows)).withColumn("limit", F.col("l.limit"))
-        .groupBy(*by, "limit")
-        .agg(
-            F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"),
-            fits(F.col("limit"), "n_docs").alias("docs_fit"),
-            (fits(F.col("limit"), "n_tokens") + F.col("limit") * F.sum(F.when(F.col("length") > F.col("limit"), F.col("n_docs")).otherwise(0))).alias("tokens_kept"),
-        )
-        .withColumn("docs_cut", F.col("n_docs") - F.col("docs_fit"))
+    above = F.when(F.col("length") > F.col("limit"), F.col("length"))
+    sums = hist.withColumn("l", F.explode(rows)).withColumn("limit", F.col("l.limit")).groupBy(*by, "limit").agg(
+        F.max_by(F.struct((F.col("docs_below") + F.col("n_docs")).alias("docs"), (F.col("tokens_below") + F.col("n_tokens")).alias("tokens")), "length").alias("all"),
+        F.min_by(F.struct("docs_from", "tokens_from"), above).alias("cut"),
+    )
+    cut = lambda c: F.coalesce(F.col(f"cut.{c}"), F.lit(0))
+    return sums.select(
+        *by, "limit", F.col("all.docs").alias("n_docs"), F.col("all.tokens").alias("n_tokens"), (F.col("all.docs") - cut("docs_from")).alias("docs_fit"),
+        (F.col("all.tokens") - cut("tokens_from") + F.col("limit") * cut("docs_from")).alias("tokens_kept"), cut("docs_from").alias("docs_cut"),
     )
 
 
 def quantiles(hist: DataFrame, qs: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """Exact length quantiles: the smallest length with at least q of the documents at or below it."""
-    w = Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)])
-    total = F.sum("n_docs").over(w)
-    reach: Column = F.col("docs_below") + F.col("n_docs")
-    base = hist.withColumn("_reach", reach).withColumn("_total", total).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-    return base.where(F.col("_reach") >= F.col("q") * F.col("_total")).groupBy(*by, "q").agg(F.min("length").alias("length"))
+    base = hist.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    return base.where(F.col("share_up_to") >= F.col("q")).groupBy(*by, "q").agg(F.min("length").alias("length"))
 
 
 def ids_batches(frames: Iterator[pd.DataFrame], text: str, path: str) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
