@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, release, tidy
+from .shared import by_bytes, release, tidy, unused
 
 GRAMS = 256 + (1 << 16) + (1 << 24)
 LETTER = regex.compile(r"\p{L}")
@@ -79,24 +79,31 @@ def fit(languages: list[str], presence_ids: list[np.ndarray], landmarks: int = 1
         return Model([], np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
     ids, counts = np.unique(np.concatenate(presence_ids), return_counts=True)
     grams = ids[counts >= min(2, len(languages))]
-    x = np.zeros((len(languages), len(grams)), np.float32)
-    for i, own in enumerate(presence_ids):
-        x[i, np.searchsorted(grams, own[np.isin(own, grams, assume_unique=True)])] = 1.0
-    x /= np.sqrt(np.maximum(x.sum(axis=1), 1.0))[:, None]
     each = {n: [i for i, lang in enumerate(languages) if lang == n] for n in names}
     share = max(1, landmarks // len(names))
-    chosen = np.array([i for n in names for i in each[n][:share]])
-    land = x[chosen]
+    chosen = [i for n in names for i in each[n][:share]]
+
+    def rows(which: list[int]) -> np.ndarray:
+        """Normalised presence of some texts."""
+        x = np.zeros((len(which), len(grams)), np.float32)
+        for i, j in enumerate(which):
+            own = presence_ids[j]
+            x[i, np.searchsorted(grams, own[np.isin(own, grams, assume_unique=True)])] = 1.0
+        return x / np.sqrt(np.maximum(x.sum(axis=1), 1.0))[:, None]
+
+    land = rows(chosen)
     values, vectors = np.linalg.eigh(land.astype(np.float64) @ land.T.astype(np.float64))
     keep = values > 1e-6 * values.max()
     half = vectors[:, keep] / np.sqrt(values[keep])
-    z = np.column_stack([(x @ land.T).astype(np.float64) @ half, np.ones(len(x))])
+    # Kernel values against the landmarks, a block of texts at a time: no matrix of all texts and n-grams is held.
+    kernel = np.vstack([rows(list(range(a, min(a + 128, len(languages))))) @ land.T for a in range(0, len(languages), 128)])
+    z = np.column_stack([kernel.astype(np.float64) @ half, np.ones(len(kernel))])
     y = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     # A language counts the same however many texts of it the sample has.
     w = np.array([len(languages) / (len(names) * len(each[lang])) for lang in languages])
     penalty = ridge * np.eye(z.shape[1])
     penalty[-1, -1] = 1e-9
-    beta = np.linalg.solve(z.T @ (z * w[:, None]) + penalty * len(x), z.T @ (y * w[:, None]))
+    beta = np.linalg.solve(z.T @ (z * w[:, None]) + penalty * len(z), z.T @ (y * w[:, None]))
     return Model(names, grams.astype(np.int32), (land.T.astype(np.float64) @ half @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32))
 
 
@@ -106,11 +113,11 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 400, max_languages: int = 2000, landmarks: int = 192) -> Model:
+def train(docs: DataFrame, per_language: int = 400, max_texts: int = 4000, max_languages: int = 2000, landmarks: int = 192) -> Model:
     """Fit on rows with a non-null doc_id, lang and text with a letter that are not held out.
 
-    The driver gets about per_language rows of each language, as distinct n-gram ids. More than
-    max_languages languages are refused.
+    The driver gets about per_language rows of each language, as distinct n-gram ids, and about max_texts in all. More than
+    max_languages languages are refused. Landmarks are at least one a language.
     """
     rows = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = rows.groupBy("lang").count().limit(max_languages + 1).collect()
@@ -118,6 +125,7 @@ def train(docs: DataFrame, per_language: int = 400, max_languages: int = 2000, l
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return fit([], [])
+    per_language = max(1, min(per_language, max_texts // len(counts)))
     rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))])
     place = F.xxhash64(F.col("doc_id")).bitwiseAND((1 << 40) - 1) / float(1 << 40)
 
@@ -143,9 +151,10 @@ def _table(model: Model) -> np.ndarray:
 
 
 def with_language(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """`docs` with the predicted language and its probability. Null texts and texts without a letter, and
-    all texts if nothing could be learned: 'und' with score 0. Only the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: n-grams of a bounded sample
+    """`docs` with the predicted language and its probability. Null and empty texts and texts without a letter (a character of Unicode's
+    category L), and all texts if nothing could be learned: 'und' with score 0. Only the text is looked at, whole however long; equal texts get equal
+    predictions; other columns stay, except that columns called `pred` or `score` are replaced. An empty table gives no row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams of a sample of at most about max_texts: a few MB
 
     @F.pandas_udf("pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -157,5 +166,6 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", pred: str =
         del table
         release()
 
-    out = docs.withColumn("_p", predict(F.col(text)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (pred, score)], F.col("_p.pred").alias(pred), F.col("_p.score").alias(score))
+    own = unused(docs, "prediction")
+    out = docs.withColumn(own, predict(F.col(text)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (pred, score)], F.col(f"{own}.pred").alias(pred), F.col(f"{own}.score").alias(score))

@@ -96,6 +96,14 @@ def release() -> None:
         pass
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_key(text: str | Column = "text") -> Column:
     """16 bytes that identify a text: the head of its SHA-256. A null text counts as empty."""
     col = F.col(text) if isinstance(text, str) else text
