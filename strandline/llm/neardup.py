@@ -1,12 +1,12 @@
 """Near-duplicate texts by BagMinHash, banding and verified multiset overlap.
 
 A text is the bag of its shingles of `size` words (lower-cased runs of letters, digits and '_'), a shingle's
-count being its weight; shorter texts are one shingle of all their words. Signature: each shingle has
-Poisson processes in time and weight, one for each weight range [0,1), [1,2), [2,4), [4,8) ..., seeded by shingle and range; a point
-has a random component and a random weight level in its range. A bag keeps the points whose level lies
-below its weight, and a component's value is its earliest kept point. Two bags agree in a component with
-probability sum(min) / sum(max), their weighted Jaccard similarity, without bias. A range below the weight
-is kept whole, so only the last one is thinned; a process stops once its time is past the bag's slowest component.
+count being its weight; shorter texts are one shingle of all their words. Signature: weights are whole numbers, so their levels are the leaves of
+a binary tree whose top nodes are the ranges [0,1), [1,2), [2,4), [4,8) ... Each shingle has a Poisson process in time for each range, seeded by shingle
+and range. A range that a bag's weight covers is one process, however many levels it has; the one in which the weight ends is split: each of its points
+goes down a random path of halves, one bit a level, to its own weight level, and is kept if that lies below the weight. So bags of any
+weights see the same points where both have weight. A point has a random component, whose value is its earliest kept point. Two bags agree in a component with
+probability sum(min) / sum(max), their weighted Jaccard similarity, without bias; a process stops once its time is past the bag's slowest component.
 
 Texts that agree on all components of a band are candidates; candidates are verified on the texts
 themselves. No pair within a bucket is emitted as such:
@@ -89,6 +89,15 @@ def _uniform(bits: np.ndarray) -> np.ndarray:
     return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def path(bits: np.ndarray, width: int) -> np.ndarray:
+    """The level, counted from the start of a range of `width` levels (a power of two), that a point reaches by choosing a half again and again."""
+    at, half = np.zeros(len(bits), np.int64), width >> 1
+    for depth in range(width.bit_length() - 1):
+        at += np.where((bits >> np.uint64(depth)) & np.uint64(1), half, 0)
+        half >>= 1
+    return at
+
+
 def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_rows: int, m: int) -> np.ndarray:
     """BagMinHash: for each row, m 64-bit values (0 in rows without shingles)."""
     best = np.full(n_rows * m, np.inf)
@@ -111,10 +120,7 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_rows:
                 r, w, seed, time, bits = r[alive], w[alive], seed[alive], time[alive], bits[alive]
             more = mix(bits ^ np.uint64(0xA0761D6478BD642F))
             cell = r * m + (more % np.uint64(m)).astype(np.int64)
-            if width > 1 or low:
-                keep = low + (_uniform(mix(more)) * width) < w
-            else:
-                keep = slice(None)
+            keep = low + path(mix(more), width) < w
             c, t, b = cell[keep], time[keep], bits[keep]
             np.minimum.at(best, c, t)
             won = best[c] == t
@@ -304,8 +310,9 @@ def text_classes(docs: DataFrame, text: str = "text", p: Params = Params()) -> D
     members = save(exploded.join(buckets, "bucket"))
     drop_saved(bands)
     free_shuffles(spark)
-    texts = keyed.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    texts = save(texts)
+    # Copies become one row a task before anything is dealt by key, so a text with very many copies is no heavy key.
+    distinct = keyed.groupBy("key").agg(F.first("text").alias("text"))
+    texts = save(distinct.join(members.select("key").distinct(), "key", "left_semi"))
     free_shuffles(spark)
     stars = members.where("key <> pivot").select(F.col("key").alias("b"), F.col("pivot").alias("a")).distinct()
     nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -333,7 +340,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", p: Params
 
     Exact copies (empty texts too) are always in one class; a null text is in a class of its own, together with other
     rows of the same doc_id that are null too. A null doc_id belongs to its text's class. Texts without a
-    word are alike only if equal. An empty table gives no row.
+    word are alike only if equal. Very long texts are compared whole; rows that repeat, also with different ids, are in one class, and class_size counts rows.
+    Only the columns `text` and `key` are looked at. An empty table gives no row.
     """
     labels = text_classes(docs, text, p)
     lone = F.concat(F.lit("null"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")
@@ -347,7 +355,12 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", p: Params
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", p: Params = Params()) -> DataFrame:
     """`docs` with one row of each class: the one with the smallest doc_id among those of the class's first
-    text; rows with a null text all stay, and of rows that repeat one stays."""
+    text; rows with a null text all stay, and of rows that repeat one stays. A null doc_id is the largest. An empty table gives no row; other columns come along,
+    whatever their names but those of this function's own: _key, _id, _class, _root, _f and r."""
+    clash = {"_key", "_id", "_class", "_root", "_f", "r"} & set(docs.columns)
+    if clash:  # other names meanwhile
+        inner = [f"{c}_{i}_" if c in clash else c for i, c in enumerate(docs.columns)]
+        return keep_one(docs.toDF(*inner), text, key, p).toDF(*docs.columns)
     labels = text_classes(docs, text, p)
     keyed = docs.withColumn("_key", text_key(text))
     firsts = keyed.where(F.col(text).isNotNull()).groupBy("_key").agg(F.min(F.struct(F.coalesce(F.col(key), F.lit(2**63 - 1)).alias("id"))).alias("_f"))
