@@ -218,7 +218,7 @@ def _cosine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def nearest(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", k: int = 5, every: int = 50, **graph_options) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by `every` its k nearest other rows found.
 
-    Ties go to the smaller id. Vectors null, empty, zero, or with null or non-finite components take no part,
+    Ties go to the smaller id, however many there are among the rows found. Vectors null, empty, zero, or with null or non-finite components take no part,
     nor do rows without id; of rows that repeat an id one takes part; vectors of another length than the
     query's are no candidates. With at most k other rows all are returned. An empty table gives no row.
     """
@@ -226,8 +226,12 @@ def nearest(vectors: DataFrame, key: str = "vec_id", column: str = "embedding",
     graph = build_graph(rows, **graph_options)
     queries = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query"), F.col("unit").alias("q"))
     found = search(rows, graph, queries)
+    # Single precision is off by no more than about dim * 2**-23, so whatever lies that close to the k-th is scored exactly, however many.
     top = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
-    few = found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= 2 * k + 2)
+    whole = Window.partitionBy("query")
+    dim = int(rows.agg(F.max("dim")).first()[0] or 0)
+    ranked = found.withColumn("r", F.row_number().over(top)).withColumn("kth", F.min(F.when(F.col("r") <= k, F.col("sim"))).over(whole))
+    few = ranked.where(F.col("sim").cast("double") >= F.col("kth").cast("double") - 2 * (dim + 8) * 2.0**-23)
     raw = rows.select("id", "raw")
     pairs = few.join(raw.withColumnsRenamed({"id": "query", "raw": "a"}), "query").join(raw.withColumnRenamed("raw", "b"), "id")
     scored = pairs.select("query", "a", "id", "b").mapInPandas(_cosine, "query_id long, vec_id long, score double")
