@@ -45,10 +45,11 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     themselves; so is a row without page_id when no equal payload has one.
     """
     large = headers.where(F.col("payload_bytes") >= min_bytes)
-    first = large.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("response"))
+    uri = "uri" if "uri" in headers.columns else F.lit(None).cast("string")
+    first = large.where("page_id IS NOT NULL").groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("response"), F.max_by(uri, "page_id").alias("response_uri"))
     out = headers.join(first, ["payload_digest", "payload_bytes"], "left")
     revisit = F.col("response").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("response")))
-    return out.select(*headers.columns, F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"))
+    return out.select(*headers.columns, F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"), F.when(revisit, F.col("response_uri")).alias("refers_to_uri"))
 
 
 def _record_id(page: Column, digest: Column) -> Column:
@@ -58,7 +59,8 @@ def _record_id(page: Column, digest: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, payload: str = "html", key: str = "page_id", uri: str = "url", min_bytes: int = 0, file_bytes: int = 4_000_000, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write a record for each row, in archives of about `file_bytes`; a null payload is empty."""
+    """Write a record for each row, in archives of about `file_bytes`; a null payload is empty, a null uri an empty one. A response's block is an
+    HTTP response whose body is the payload; the digest is the payload's."""
     clean = F.regexp_replace(F.coalesce(F.col(uri), F.lit("")), r"[\r\n]", " ")
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), clean.alias("uri"), body.alias("body"))
@@ -72,18 +74,20 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", key: str
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     page_line = F.when(F.col("page_id").isNull(), F.lit("")).otherwise(line("X-Page-Id", F.col("page_id").cast("string")))
 
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
+
     def record(kind: str, length: Column, extra: Column, block: Column) -> Column:
         return F.concat(
             F.lit("WARC/1.1\r\n"), line("WARC-Type", F.lit(kind)), line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("payload_digest"))), line("WARC-Date", F.lit(date)),
             line("WARC-Target-URI", F.col("uri")), page_line, line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), extra,
-            line("Content-Type", F.lit("text/html")), line("Content-Length", length.cast("string")), F.lit("\r\n"), block, F.lit("\r\n\r"),
+            line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", length.cast("string")), F.lit("\r\n"), block, F.lit("\r\n\r"),
         )
 
     # A response is known without its payload's neighbours: its page is the largest of its digest.
     whole = headers.where("record_type = 'response'").select("page_id", "uri", "payload_digest").distinct()
     responses = keyed.join(whole.select(F.col("page_id").alias("p"), F.col("uri").alias("u"), F.col("payload_digest").alias("d")), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("uri") == F.col("u")) & (F.col("payload_digest") == F.col("d")), "left_semi")
-    full = responses.select(record("response", F.col("payload_bytes"), F.lit(""), F.col("body")).alias("value"))
-    refers = F.concat(line("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("payload_digest"))), line("WARC-Profile", F.lit(REVISIT_PROFILE)))
+    full = responses.select(record("response", F.length(http) + F.col("payload_bytes"), F.lit(""), F.concat(http, F.col("body"))).alias("value"))
+    refers = F.concat(line("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("payload_digest"))), line("WARC-Refers-To-Target-URI", F.coalesce("refers_to_uri", F.lit(""))), line("WARC-Refers-To-Date", F.lit(date)), line("WARC-Profile", F.lit(REVISIT_PROFILE)))
     bare = revisit.select(record("revisit", F.lit(0), refers, F.lit("")).alias("value"))
     writer = full.unionByName(bare).write.option("lineSep", "\n").option("maxRecordsPerFile", records)
     writer.option("compression", "gzip").text(path)
@@ -105,10 +109,12 @@ def parse(content: bytes, with_payload: bool = True) -> Iterator[tuple]:
             raise ValueError(f"the record at byte {at} does not end")
         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
         kind = head["WARC-Type"]
+        if kind == "response":  # the payload follows the HTTP header
+            block = block[content.index(b"\r\n\r\n", end + 4, end + 4 + n) + 4 - (end + 4) :]
         if kind == "response" and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
             raise ValueError(f"wrong digest at byte {at}")
         page = head.get("X-Page-Id")
-        yield (head["WARC-Record-ID"], None if page is None else int(page), head["WARC-Target-URI"], kind, digest, n if kind == "response" else None, head.get("WARC-Refers-To"), bytes(block) if with_payload and kind == "response" else None)
+        yield (head["WARC-Record-ID"], None if page is None else int(page), head["WARC-Target-URI"], kind, digest, len(block) if kind == "response" else None, head.get("WARC-Refers-To"), bytes(block) if with_payload and kind == "response" else None)
         at = end + 8 + n
 
 
@@ -135,7 +141,8 @@ def joined_records(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write archives of `pages` below the shared folder and read them back."""
+    """Write archives of `pages` below the shared folder and read them back: a row a page, rows that repeat and null ids too. A null or empty
+    payload has 0 bytes; very long ones are one record; columns besides those named are not looked at; an empty table gives no row."""
     spark = pages.sparkSession
     path = scratch_dir(spark)
     write_archives(pages, path, **options)
