@@ -126,4 +126,9 @@ def epoch_micros(units: Column, calendar: Column) -> Column:
 
 def time_micros(time: Column, units: Column, calendar: Column) -> Column:
     """Exact integer microseconds (half-even at the last one) since the calendar's day 0."""
-    return F.bround(time * unit_micros(units).cast("double"), 0).cast("long") + epoch_micros(units, calendar)
+    return scaled(time, unit_micros(units), epoch_micros(units, calendar))
+
+
+def scaled(time: Column, unit: Column, epoch: Column) -> Column:
+    """The same from the unit's and the reference date's microseconds."""
+    return F.bround(time * unit.cast("double"), 0).cast("long") + epoch

@@ -13,7 +13,7 @@ from ..functions import paths as P
 from ..functions import timestamps as T
 from ..functions.globs import matches
 from ..sources import history
-from . import timeline
+from . import timeline, variables
 
 
 @dataclass(frozen=True)
@@ -52,12 +52,22 @@ class HistoryCollection:
 
     def include_years(self, start_year: int, end_year: int, glob_patterns: str | list[str] = "*", glob: str | list[str] | None = None) -> HistoryCollection:
         """Keep files whose first step lies in the years; paths that match no pattern go."""
-        first = C.civil(F.col("calendar"), self._instant(F.element_at("times", 1), F.try_element_at("bounds", F.lit(1))))
-        return self._with(self.frame.where(matches(F.col("path"), glob or glob_patterns) & first["year"].between(start_year, end_year)))
+        kept = self._clocked(self.frame.where(matches(F.col("path"), glob or glob_patterns)))
+        first = kept.withColumn("_first", self._instant(F.element_at("times", 1), F.try_element_at("bounds", F.lit(1))))
+        year = first.withColumn("_year", C.civil(F.col("calendar"), F.col("_first"))["year"])
+        return self._with(year.where(F.col("_year").between(start_year, end_year)).select(*self.frame.columns))
+
+    @staticmethod
+    def _clocked(rows: DataFrame) -> DataFrame:
+        """With what a file's times need, worked out once a file: microseconds of the unit, and of the reference date."""
+        return rows.withColumns({"_unit": C.unit_micros(F.col("units")), "_epoch": C.epoch_micros(F.col("units"), F.col("calendar"))})
+
+    @staticmethod
+    def _micros(time: Column) -> Column:
+        return C.scaled(time, F.col("_unit"), F.col("_epoch"))
 
     def _instant(self, time: Column, bound: Column, method: str = "midpoint") -> Column:
-        micros = lambda x: C.time_micros(x, F.col("units"), F.col("calendar"))
-        return T.aligned(micros(time), micros(bound["lo"]), micros(bound["hi"]), method)
+        return T.aligned(self._micros(time), self._micros(bound["lo"]), self._micros(bound["hi"]), method)
 
     @staticmethod
     def valid() -> Column:
@@ -77,8 +87,51 @@ class HistoryCollection:
             raise ValueError(bad["error"])
         return self._with(pulled.where(self.valid()) if check_valid else pulled)
 
+    def _first(self) -> Column:
+        return C.time_micros(F.element_at("times", 1), F.col("units"), F.col("calendar"))
+
     def sort_along_time(self) -> DataFrame:
-        return self.frame.orderBy(C.time_micros(F.element_at("times", 1), F.col("units"), F.col("calendar")), "path")
+        return self.frame.orderBy(self._first(), "path")
+
+    def placed_along_time(self) -> DataFrame:
+        """Files with `place`, their number (from 0) in the order of sort_along_time."""
+        return timeline.placed(self.frame, [self._first(), F.col("path")])
+
+    def majority(self) -> HistoryCollection:
+        """Files whose set of variables is the only most common one of their group; groups with a tie go."""
+        names = F.array_join(F.array_sort(F.transform("variables", lambda v: v["name"])), ",")
+        kept = variables.majority_schema(self.grouped().withColumn("_names", names), ["group_id"], "_names")
+        return self._with(kept.select(*self.frame.columns))
+
+    def attributes(self) -> DataFrame:
+        """(group_id, key, value): of each global attribute the value of the group's last file (by time, then path) that has it."""
+        rows = self.grouped().withColumn("_at", F.struct(self._first(), "path"))
+        return variables.attributes_last_wins(rows, ["group_id"], "attrs", "_at")
+
+    def time_axes(self) -> DataFrame:
+        """(group_id, micros) distinct: each group's time axis."""
+        return timeline.time_axis(self.steps(), ["group_id"], "micros")
+
+    def multistep_slices(self) -> DataFrame:
+        """(path, slice_start, slice_end, start_step, end_step, whole): the half-open range of a file's steps in each slice that holds any."""
+        rows = self.steps().groupBy("path", "slice_start", "slice_end").agg(F.min("step").alias("start_step"), (F.max("step") + 1).alias("end_step"))
+        sizes = self.frame.select("path", F.size("times").alias("_n"))
+        return rows.join(sizes, "path").withColumn("whole", (F.col("start_step") == 0) & (F.col("end_step") == F.col("_n"))).drop("_n")
+
+    @property
+    def is_pulled(self) -> bool:
+        """Whether metadata are kept already."""
+        return self.frame.storageLevel.useMemory
+
+    def check_pulled(self) -> HistoryCollection:
+        return self if self.is_pulled else self.pull_metadata()
+
+    @property
+    def input_dir(self) -> str:
+        return self.head
+
+    def copy(self) -> HistoryCollection:
+        return replace(self)
 
     def slice_groups(self, slice_size_years: int = 10, start_year: int | None = 0, pattern: str = "*", time_alignment_method: str = "midpoint") -> HistoryCollection:
         if time_alignment_method not in T.ALIGNMENTS:
@@ -95,9 +148,9 @@ class HistoryCollection:
     def steps(self) -> DataFrame:
         """One row a file and step: group_id, micros (the time), instant (aligned), civil fields, slice."""
         none = F.array_repeat(F.lit(None).cast("struct<lo:double,hi:double>"), F.size("times"))
-        rows = self.grouped().withColumn("bounds", F.coalesce("bounds", none)).select("*", F.posexplode(F.arrays_zip("times", "bounds")).alias("step", "_s"))
+        rows = self._clocked(self.grouped()).withColumn("bounds", F.coalesce("bounds", none)).select("*", F.posexplode(F.arrays_zip("times", "bounds")).alias("step", "_s"))
         time, bound = F.col("_s.times"), F.col("_s.bounds")
-        rows = rows.select("path", "group_id", "is_tile", "step", "units", "calendar", "variables", "attrs", C.time_micros(time, F.col("units"), F.col("calendar")).alias("micros"), time.alias("time"), self._instant(time, bound, self.alignment).alias("instant"), self._instant(time, bound).alias("midpoint"))
+        rows = rows.select("path", "group_id", "is_tile", "step", "units", "calendar", "variables", "attrs", self._micros(time).alias("micros"), time.alias("time"), self._instant(time, bound, self.alignment).alias("instant"), self._instant(time, bound).alias("midpoint"))
         rows = rows.withColumn("fields", C.civil(F.col("calendar"), F.col("instant")))
         if self.slice_years is None:
             return rows.withColumns({"slice_start": F.lit(None).cast("int"), "slice_end": F.lit(None).cast("int")})

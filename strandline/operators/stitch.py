@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,27 +17,38 @@ def concat_coords(rows: DataFrame, group: list[str], dim: str, coords: str) -> D
     return rows.select(*group, dim, F.explode(coords).alias("_x")).groupBy(*group, dim).agg(F.array_sort(F.collect_set("_x")).alias("axis"))
 
 
+def _filled(cells: Column) -> Column:
+    """An array of (position, value) structs as an array of values at their positions, null where no cell is; of cells at
+    one position the last stays. One sort; each gap is filled at once, so the work is linear in the result."""
+    after = lambda i: F.get("_s", i + 1)["position"]
+    nulls = lambda n: F.array_repeat(F.get("_s", F.lit(-1))["value"], n.cast("int"))
+    parts = F.transform("_s", lambda x, i: F.when(after(i) == x["position"], F.array_repeat(x["value"], 0)).otherwise(F.concat(F.array(x["value"]), nulls(F.coalesce(after(i) - x["position"] - 1, F.lit(0))))))
+    return F.concat(nulls(F.get("_s", F.lit(0))["position"]), F.flatten(parts))
+
+
 def stitch(cells: DataFrame, group: list[str], position: str, value: str) -> DataFrame:
     """One array a group from (group, position, value): each cell at its own index, null where no tile has one."""
-    got = cells.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct(position, value))).alias("_m"))
-    last = F.array_max(F.map_keys("_m"))
-    return got.select(*group, F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.try_element_at(F.col("_m"), i.cast("long"))).alias("data"))
+    cell = F.struct(F.col(position).cast("long").alias("position"), F.col(value).alias("value"))
+    got = cells.groupBy(*group).agg(F.array_sort(F.collect_list(cell)).alias("_s"))
+    return got.select(*group, _filled(F.col("_s")).alias("data"))
 
 
 def paste_tiles(tiles: DataFrame, group: list[str], value_dims: list[str]) -> DataFrame:
-    """Paste 2-D tiles: rows (group, time, shape, coords map, data flat row-major). Each cell goes to the index
-    of its own coordinates on the combined axes, so descending tiles and gaps come out right."""
+    """Paste 2-D tiles: rows (group, time, coords map, data flat row-major). Each cell goes to the index
+    of its own coordinates on the combined axes, so descending tiles and gaps come out right. A tile's coordinates are looked up
+    once, and its cells stay one array until they are pasted."""
     axes = None
     for d in value_dims:
         axis = tiles.select(*group, F.explode(F.col("coords")[d]).alias("_x")).groupBy(*group).agg(F.array_sort(F.collect_set("_x")).alias(f"axis_{d}"))
         axes = axis if axes is None else axes.join(axis, group)
     a, b = value_dims
-    wide = tiles.join(axes, group).select(*group, "time", f"axis_{a}", f"axis_{b}", "coords", F.posexplode("data").alias("_i", "value"))
-    width = F.size(F.col("coords")[b])
-    row = F.array_position(f"axis_{a}", F.element_at(F.col("coords")[a], F.floor(F.col("_i") / width).cast("int") + 1)) - 1
-    col = F.array_position(f"axis_{b}", F.element_at(F.col("coords")[b], F.pmod(F.col("_i"), width) + 1)) - 1
-    cells = wide.select(*group, "time", f"axis_{a}", f"axis_{b}", (row * F.size(f"axis_{b}") + col).alias("position"), "value")
-    out = stitch(cells, [*group, "time", f"axis_{a}", f"axis_{b}"], "position", "value")
+    index = lambda d: F.transform(F.col("coords")[d], lambda x: F.array_position(f"axis_{d}", x) - 1)
+    placed = tiles.join(axes, group).withColumns({"_rows": index(a), "_cols": index(b)})
+    at = F.flatten(F.transform("_rows", lambda r: F.transform("_cols", lambda c: r * F.size(f"axis_{b}") + c)))
+    cells = F.zip_with(at, "data", lambda p, x: F.struct(p.alias("position"), x.alias("value")))
+    whole = [*group, "time", f"axis_{a}", f"axis_{b}"]
+    joined = placed.select(*whole, cells.alias("_c")).groupBy(*whole).agg(F.array_sort(F.flatten(F.collect_list("_c"))).alias("_s"))
     full = F.size(f"axis_{a}") * F.size(f"axis_{b}")
-    padded = F.transform(F.sequence(F.lit(1), full), lambda i: F.get("data", i - 1))
-    return out.withColumn("data", padded).withColumn("shape", F.array(F.size(f"axis_{a}"), F.size(f"axis_{b}")))
+    out = joined.withColumn("data", _filled(F.col("_s")))
+    padded = F.concat("data", F.array_repeat(F.get("_s", F.lit(-1))["value"], full - F.size("data")))
+    return out.withColumn("data", padded).withColumn("shape", F.array(F.size(f"axis_{a}"), F.size(f"axis_{b}"))).drop("_s")

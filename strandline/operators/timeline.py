@@ -46,3 +46,17 @@ def slice_index_ranges(rows: DataFrame, group: list[str], time: str, slices: lis
     before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))
     start = F.coalesce(before, F.lit(0)).cast("long")
     return counts.select(*group, *slices, start.alias("start_index"), (start + F.col("_n")).cast("long").alias("end_index"))
+
+
+def placed(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Adds each row's place (from 0) in the order of the columns `order`. Rows are dealt by range and sorted where they are; a
+    range's first place is the count of the ranges before it, so no task holds more than a range."""
+    keys = {f"_o{i}": c for i, c in enumerate(order)}
+    # Kept once: the ranges are sampled, and both reads below must see the same ones.
+    ranged = rows.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id()).cache()
+    part = F.shiftright("_row", 33)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    out = ranged.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return out.withColumn(name, F.col("_start") + F.col("_row").bitwiseAND((1 << 33) - 1)).drop("_part", "_start", "_row", *keys)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +22,10 @@ from ..operators.catalog import HistoryCollection
 from ..session import ship
 from ..sources import cdf, history
 from ..sources.multifile import MultiFile
+from ..streaming import incremental
+from .chunks import values
 
+LOG = logging.getLogger("strandline")
 AUXILIARY = "auxiliary"
 VERSION = "1"
 #: Of one run of execute(); more batches than that share tasks.
@@ -37,7 +42,10 @@ def plan(steps: DataFrame, delta: DataFrame, head: str, output: str, formats: di
     before = "sum(n) OVER (PARTITION BY group_id ORDER BY _t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     ranges = counts.withColumn("ts_start_index", F.expr(f"coalesce({before}, 0L)")).withColumn("ts_end_index", F.col("ts_start_index") + F.col("n"))
     first = steps.groupBy(*key).agg(F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.array_sort(F.collect_set("path")).alias("hf_paths"), F.min_by("variables", "path").alias("variables"), F.first("calendar").alias("calendar"))
-    primary = F.transform(F.filter("variables", lambda v: ~v["secondary"]), lambda v: v["name"])
+    # Bytes of an output: those of the variable in the first file, times the files.
+    size = lambda v: v["itemsize"] * values(v["shape"]) * F.size("hf_paths")
+    primary = F.transform(F.filter("variables", lambda v: ~v["secondary"]), lambda v: F.struct(v["name"].alias("name"), size(v).cast("long").alias("n_bytes")))
+    alone = F.array(F.struct(F.lit(AUXILIARY).alias("name"), F.lit(0).cast("long").alias("n_bytes")))
     secondary = F.transform(F.filter("variables", lambda v: v["secondary"]), lambda v: v["name"])
     rows = _null_safe(first, ranges, key)
     rows = rows.join(delta, "group_id", "left")
@@ -46,10 +54,10 @@ def plan(steps: DataFrame, delta: DataFrame, head: str, output: str, formats: di
     rest = F.regexp_replace(F.substring(F.col("group_id"), len(head.rstrip("/")) + 1, 1 << 20), r"\*$", "")
     return rows.select(
         *key, "hf_paths", F.concat(F.lit(output.rstrip("/")), rest).alias("ts_path_template"),
-        F.explode(F.when(F.size(primary) > 0, primary).otherwise(F.array(F.lit(AUXILIARY)))).alias("primary_var"), secondary.alias("secondary_vars"),
+        F.explode(F.when(F.size(primary) > 0, primary).otherwise(alone)).alias("_v"), secondary.alias("secondary_vars"),
         F.concat(stamp("_low"), F.lit("-"), stamp("_high")).alias("ts_string"), "ts_start_index", "ts_end_index", "first_time", "last_time", "delta",
         F.lit(None).cast("int").alias("complevel"), F.lit(None).cast("string").alias("compression"), F.lit(False).alias("overwrite"), F.create_map().cast("map<string,string>").alias("append_attrs"),
-    )
+    ).withColumns({"primary_var": F.col("_v.name"), "n_bytes": F.col("_v.n_bytes")}).drop("_v")
 
 
 def _null_safe(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
@@ -128,21 +136,52 @@ class OrderCollection:
     def __iter__(self):
         return iter(self.frame.collect())
 
-    def execute(self, optimize: bool = True, optimize_batch_n: int = 200, raise_errors: bool = False) -> DataFrame:
-        """Write every order that is not complete yet: (out_path, status, error). A task opens a group's files once for
-        up to optimize_batch_n variables. Outputs are written beside their place and renamed, so a task that is run
-        again leaves whole files. Paths must be on a file system that all executors mount."""
-        ship(self.frame.sparkSession)
+    def __contains__(self, path: str) -> bool:
+        return not self.frame.where(out_path() == path).isEmpty()
+
+    def __getitem__(self, path: str):
+        """The order that writes `path`."""
+        row = self.frame.where(out_path() == path).first()
+        if row is None:
+            raise KeyError(path)
+        return row
+
+    def copy(self) -> OrderCollection:
+        return self._with(self.frame)
+
+    def create_directories(self) -> list[str]:
+        """Make the directories of all outputs; a directory that exists is kept."""
+        made = [r["d"] for r in self.frame.select(P.parent(out_path()).alias("d")).distinct().collect()]
+        for d in made:
+            os.makedirs(d, exist_ok=True)
+        return made
+
+    def remaining(self, done: DataFrame) -> OrderCollection:
+        """Without the orders whose output is listed in `done` (out_path) already; those that overwrite stay."""
+        named = self.frame.withColumn("out_path", out_path())
+        left = incremental.remaining(named.where(~F.col("overwrite")), done, "out_path").unionByName(named.where("overwrite"))
+        return self._with(left.drop("out_path"))
+
+    def batches(self, optimize: bool = True, optimize_batch_n: int = 200) -> DataFrame:
+        """A row a task: (group_id, slice_start, slice_end, batch, hf_paths, orders), up to optimize_batch_n orders of a group's slice, or one."""
         orders = self.frame.withColumn("out_path", out_path())
         batch = F.floor((F.row_number().over(_by("group_id", "slice_start", "slice_end")) - 1) / (optimize_batch_n if optimize else 1)).cast("int")
         columns = ["out_path", "primary_var", "secondary_vars", "first_time", "last_time", "overwrite", "append_attrs", "complevel", "compression"]
         # A row a batch, so that a group's paths are sent once and not with each of its variables.
         dealt = orders.withColumn("batch", batch).groupBy("group_id", "slice_start", "slice_end", "batch")
-        batches = dealt.agg(F.first("hf_paths").alias("hf_paths"), F.collect_list(F.struct(*columns)).alias("orders")).cache()
+        return dealt.agg(F.first("hf_paths").alias("hf_paths"), F.collect_list(F.struct(*columns)).alias("orders"))
+
+    def execute(self, optimize: bool = True, optimize_batch_n: int = 200, raise_errors: bool = False) -> DataFrame:
+        """Write every order that is not complete yet: (out_path, status, error). A task opens a group's files once for
+        up to optimize_batch_n variables. Outputs are written beside their place and renamed, so a task that is run
+        again leaves whole files. Paths must be on a file system that all executors mount."""
+        ship(self.frame.sparkSession)
+        batches = self.batches(optimize, optimize_batch_n).cache()
         # A stated number of tasks: rows are few and small, and would be coalesced into one task otherwise.
         spread = batches.select("hf_paths", "orders").repartition(max(1, min(batches.count(), MOST_TASKS)))
         rows = spread.mapInPandas(_write_batches(list(history.DONE_MARKERS)), STATUS).collect()  # one short row an output; writing happens here, once
         batches.unpersist()
+        LOG.info("outputs: %s", dict(Counter(r["status"] for r in rows)))
         if raise_errors and (bad := next((r for r in rows if r["error"]), None)):
             raise RuntimeError(bad["error"])
         return self.frame.sparkSession.createDataFrame(rows, STATUS)

@@ -18,7 +18,7 @@ class Preset:
     path_swaps: list[tuple[str, str]] = field(default_factory=list)
     compression: tuple[int, str] | None = None
 
-    def check(self) -> None:
+    def __post_init__(self) -> None:
         if not (self.name and self.include and all(isinstance(p, str) for p in [*self.include, *self.exclude])):
             raise ValueError("a preset has a name, include globs and exclude globs")
 

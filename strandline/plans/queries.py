@@ -6,8 +6,6 @@ variables, flags, priorities and event types are groups, page urls are paths, em
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,28 +14,28 @@ from ..functions import timestamps as T
 from ..functions.globs import find_all_indices, matches
 from ..operators import stitch, timeline, variables
 from ..session import table
-from ..streaming import incremental
 from . import chunks
+from .registry import ORACLE_SQL, QUERIES, Query
+from .registry import query as _query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 VARIABLES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def _query(sql: str) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
-        return f
-
-    return add
-
-
 def micros(col: str) -> Column:
     """Microseconds since 1970 of a timestamp without zone."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {col})")
 
 
+def fields(date: Column) -> Column:
+    """Civil fields of a timestamp, as calendars.civil gives them."""
+    parts = {"year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second}
+    return F.struct(*[f(date).alias(name) for name, f in parts.items()])
+
+
+def _month(date: Column) -> Column:
+    return T.stamp(fields(date), F.lit("m"))
+
+
 def _exact(col: str) -> Column:
     return F.sum(F.col(col).cast("decimal(18,4)"))
 
@@ -54,7 +52,7 @@ def flagship_timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = rows.groupBy("grp", "l_shipdate").agg(*[_exact(v).alias(v) for v in VARIABLES])
     long = days.withColumn("slice_start", T.slice_start(F.year("l_shipdate"), 2, 1995)).unpivot(["grp", "slice_start", "l_shipdate"], VARIABLES, "variable", "val")
     return long.groupBy("grp", "slice_start", "variable").agg(
-        F.count("*").alias("n_steps"), F.concat_ws("-", F.date_format(F.min("l_shipdate"), "yyyyMM"), F.date_format(F.max("l_shipdate"), "yyyyMM")).alias("ts_string"),
+        F.count("*").alias("n_steps"), F.concat(_month(F.min("l_shipdate")), F.lit("-"), _month(F.max("l_shipdate"))).alias("ts_string"),
         F.round(F.sum("val"), 2).cast("double").alias("total"),
     )
 
@@ -82,11 +80,6 @@ def group_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(P.group_id(F.col("path")).alias("group_id")).agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
 
 
-@_query("SELECT page_id, replace(url, '/', '/proc/') AS template FROM pages")
-def replace_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.replace("url", F.lit("/"), F.lit("/proc/")).alias("template"))
-
-
 @_query("""SELECT c_custkey, '/out/' || lower(c_mktsegment) || '/tseries/' || c_name AS template FROM customer""")
 def output_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = F.concat(F.lit("/in/"), F.lower("c_mktsegment"), F.lit("/hist/"), F.col("c_name"), F.lit("*"))
@@ -98,13 +91,6 @@ def find_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(find_all_indices(F.col("p_name"), "a").cast("array<string>"), ",").alias("starts"))
 
 
-@_query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'")
-def include_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A half-open range reaches the Parquet scan; a predicate on year() would not.
-    d = F.col("o_orderdate")
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").where((d >= F.expr("TIMESTAMP_NTZ'1996-01-01'")) & (d < F.expr("TIMESTAMP_NTZ'1998-01-01'")))
-
-
 def _aligned(method: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
@@ -178,40 +164,6 @@ def slice_index_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.slice_index_ranges(_sliced(spark, sf_dir), ["o_orderpriority"], "o_orderdate", ["slice_start", "slice_end"])
 
 
-_PLAN = """SELECT o_orderpriority AS grp, year(o_orderdate) AS yr, v.primary_var, count(DISTINCT o_orderdate) AS n_steps,
-  strftime(min(o_orderdate), '%Y%m%d') || '-' || strftime(max(o_orderdate), '%Y%m%d') AS ts_string
-  FROM orders, (VALUES ('o_totalprice'), ('o_custkey')) v(primary_var) GROUP BY ALL"""
-
-
-def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp"), F.year("o_orderdate").alias("yr")).agg(
-        F.countDistinct("o_orderdate").alias("n_steps"), F.concat_ws("-", F.date_format(F.min("o_orderdate"), "yyyyMMdd"), F.date_format(F.max("o_orderdate"), "yyyyMMdd")).alias("ts_string"))
-    return groups.select("grp", "yr", F.explode(F.array(F.lit("o_totalprice"), F.lit("o_custkey"))).alias("primary_var"), "n_steps", "ts_string")
-
-
-@_query(_PLAN)
-def order_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, sf_dir)
-
-
-@_query(f"SELECT * FROM ({_PLAN}) WHERE NOT (grp GLOB '1-*' OR primary_var GLOB '*cust*')")
-def order_exclude_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, sf_dir).where(~(matches(F.col("grp"), "1-*") | matches(F.col("primary_var"), "*cust*")))
-
-
-@_query(f"SELECT *, CASE WHEN grp GLOB '*URGENT' AND primary_var GLOB '*price' THEN 2 ELSE 0 END AS complevel FROM ({_PLAN})")
-def add_args_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = matches(F.col("grp"), "*URGENT") & matches(F.col("primary_var"), "*price")
-    return _plan(spark, sf_dir).withColumn("complevel", F.when(hit, 2).otherwise(0))
-
-
-@_query("""SELECT c_mktsegment AS grp, CASE WHEN max(c_acctbal) > 9990 THEN 'c_acctbal' ELSE 'auxiliary' END AS primary_var FROM customer GROUP BY 1""")
-def auxiliary_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("grp")).agg(F.max("c_acctbal").alias("top"))
-    primary = F.when(F.col("top") > 9990, F.array(F.lit("c_acctbal"))).otherwise(F.array(F.lit("auxiliary")))
-    return groups.select("grp", F.explode(primary).alias("primary_var"))
-
-
 @_query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 OR p_size % 3 = 0 OR p_size % 5 = 0 THEN TRUE ELSE FALSE END AS secondary FROM part""")
 def classify_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
@@ -256,41 +208,10 @@ def stitch_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("vec_id", F.size("data").cast("long").alias("n"), F.round(check, 3).alias("checksum"))
 
 
-@_query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-def secondary_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # nation and region are of fixed size; Spark broadcasts them by their measured size.
-    small = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(small, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
-
-
 @_query("""SELECT vec_id, CASE WHEN len(embedding) * (vec_id + 1) * 100 * 8 < 4194304 THEN len(embedding) ELSE greatest(1, CAST(floor(4194304 / ((vec_id + 1) * 100 * 8)) AS BIGINT)) END AS chunk FROM embeddings""")
 def chunk_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.array(F.size("embedding"), (F.col("vec_id") + 1).cast("int"), F.lit(100))
     return table(spark, sf_dir, "embeddings").select("vec_id", chunks.time_chunk(shape, 8).alias("chunk"))
 
 
-@_query("""WITH g AS (SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_linenumber * 8) AS b FROM lineitem GROUP BY ALL)
-  SELECT CAST(sum(n) AS BIGINT) AS n_files, count(*) AS n_groups, CAST(sum(b) AS BIGINT) AS n_bytes, arg_max(l_returnflag || l_linestatus, n) AS most_files FROM g""")
-def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_linenumber") * 8).alias("b"))
-    return g.agg(F.sum("n").alias("n_files"), F.count("*").alias("n_groups"), F.sum("b").alias("n_bytes"), F.max_by(F.concat("l_returnflag", "l_linestatus"), "n").alias("most_files"))
-
-
-@_query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
-def skip_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return incremental.remaining(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), done, "o_orderkey")
-
-
-@_query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND n_chars > 100")
-def validity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return incremental.remaining(table(spark, sf_dir, "documents").where("n_chars > 100").select("doc_id", "source"), bad, "doc_id")
-
-
-@_query("SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
-def sort_along_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", F.row_number().over(w).cast("long").alias("place"))
+from . import collection_queries  # noqa: E402, F401  registers the queries over catalogs

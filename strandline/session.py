@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -48,3 +49,20 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; the path may lie in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files, on a file system that driver and executors mount: below spark.checkpoint.dir; without that setting a temporary
+    one, which only a local master may use."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="strandline-files-")
+    elif "://" in base.replace("file://", "", 1):
+        raise ValueError("array files are written through a mounted file system")
+    path = f"{base.removeprefix('file://').rstrip('/')}/files-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"file://{path}")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.globs import matches
-from ..operators.variables import BOUNDS_NAMES, SECONDARY_DIMS
+from ..operators.variables import BOUNDS_NAMES, is_secondary
 from . import cdf
 
 MARKER = "strandline_version"
@@ -69,10 +69,9 @@ def metadata(path: str, content: bytes | None = None) -> dict:
         if bound is not None:
             pairs = ds.variables[bound].data.astype(float).reshape(len(axis), 2)
             row["bounds"] = [{"lo": a, "hi": b} for a, b in pairs.tolist()]
-        tdim = t.dims[0] if t.dims else time
         row["variables"] = [
             {"name": n, "dims": v.dims, "shape": [int(x) for x in v.data.shape], "dtype": v.data.dtype.newbyteorder("=").str.lstrip("<>|="), "itemsize": v.data.dtype.itemsize,
-             "secondary": n.lower() in BOUNDS_NAMES or bool(set(v.dims) & set(SECONDARY_DIMS)) or not (len(set(v.dims)) > 1 and tdim in v.dims)}
+             "secondary": None}
             for n, v in ds.variables.items()
         ]
         coords = {d: ds.variables[d].data.astype(float).ravel() for d in ds.dims if d in ds.variables and ds.variables[d].data.dtype.kind != "S"}
@@ -93,7 +92,14 @@ def catalog(spark: SparkSession, head: str, pattern: str = "*.nc*") -> DataFrame
             for p, c in zip(pdf["path"], pdf["content"]):
                 yield pd.DataFrame([metadata(p, c)])
 
-    return files.mapInPandas(run, CATALOG)
+    return classified(files.mapInPandas(run, CATALOG))
+
+
+def classified(files: DataFrame) -> DataFrame:
+    """Catalog rows with `secondary` of each variable set, time being the first dimension of the time variable."""
+    own = F.get(F.filter("variables", lambda v: v["name"] == F.col("time_name")), F.lit(0))["dims"]
+    tdim = F.coalesce(F.get(own, F.lit(0)), F.col("time_name"))
+    return files.withColumn("variables", F.transform("variables", lambda v: v.withField("secondary", is_secondary(v["name"], v["dims"], tdim))))
 
 
 def facts(spark: SparkSession, head: str, pattern: str = "*.nc*", variables: list[str] | None = None) -> DataFrame:
