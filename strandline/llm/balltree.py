@@ -1,10 +1,10 @@
 """Exact top-k by inner product: a ball tree for each shard, branch and bound, shared k-th scores.
 
-Rows are dealt to shards of about `shard_rows` rows by a hash of their id, and each shard becomes one packed ball
-tree. A node bounds the inner product of a query q with any row below it by q.c + |q| r (c its centre, r its
+Rows are ordered by random projections, so that near rows stand together, and each run of about `shard_rows` rows becomes
+one packed ball tree. A node bounds the inner product of a query q with any row below it by q.c + |q| r (c its centre, r its
 radius); nodes are visited in the order of that bound, and a search ends when the best bound left is below
-the query's current k-th score. Queries go in blocks to one shard first; the k-th scores found there go with
-the blocks to an eighth of the other shards, and the better ones from there to all the rest: a k-th score over any
+the query's current k-th score. A query first searches the shard it lies in, where its tree is built; the k-th score found
+there goes with it, and it is sent only to shards whose root bound reaches that score: a k-th score over any
 subset is a lower bound for the whole, so no result can be lost.
 """
 
@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import heapq
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,13 @@ from .shared import drop_saved, save
 from .vectors import finite, one_row_an_id, stack
 
 HITS = "query_id long, vec_id long, score long"
+SHARD = f"dim int, shard long, tree binary, centre binary, radius double, queries binary, hits array<struct<{HITS.replace(' long', ': long')}>>"
+
+
+def upper_bounds(centres: np.ndarray, radii: np.ndarray, norms: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """queries x nodes: no row of a node has a larger inner product, rounding allowed for."""
+    lengths = np.sqrt((queries**2).sum(axis=1))[:, None]
+    return queries @ centres.T + radii * lengths + 1e-9 * (norms + radii) * lengths + 1e-6
 
 
 class BallTree:
@@ -56,9 +65,7 @@ class BallTree:
     def search(self, query_id: int, q: np.ndarray, k: int, floor: float, seen: list[int] | None = None) -> list[tuple[int, int]]:
         """(score, id) of up to k rows other than the query's own that score at least `floor`, best first."""
         x = q.astype(np.float64)
-        norm = float(np.sqrt(x @ x))
-        bound = self.centres @ x + self.radii * norm
-        bound += 1e-9 * (self.norms + self.radii) * norm + 1e-6
+        bound = upper_bounds(self.centres, self.radii, self.norms, x[None, :])[0]
         exact = float(self.top) * float(np.abs(q).max(initial=0)) * len(q) < 2.0**53
         heap = [(-bound[0], 0)]
         best: list[tuple[int, int]] = []  # a heap of (score, -id)
@@ -82,24 +89,74 @@ class BallTree:
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
-def _pack_trees(pdf: pd.DataFrame) -> pd.DataFrame:
-    tree = BallTree(pdf["vec_id"].to_numpy(np.int64), stack(pdf["v"], np.int64))
-    return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "tree": [pickle.dumps(tree, protocol=5)]})
+def _place(bits: int, seed: int):
+    """An order in which near rows stand together: signs against `bits` random directions, then one more projection."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            code, fine = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.float64)
+            for dim, own in pdf.groupby("dim").indices.items():
+                p = stack(pdf["v"].iloc[own], np.float64) @ np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), bits + 1))
+                code[own] = ((p[:, :bits] > 0) << np.arange(bits)).sum(axis=1)
+                fine[own] = p[:, bits]
+            yield pdf.assign(code=code, fine=fine)
+
+    return run
+
+
+def _grow_shards(shard_rows: int, k: int, every: int):
+    """Each run of `shard_rows` rows of one length becomes a tree, which answers its own queries at once."""
+    def shard(pdf: pd.DataFrame, number: int) -> pd.DataFrame:
+        tree = BallTree(pdf["vec_id"].to_numpy(np.int64), stack(pdf["v"], np.int64))
+        asked = np.flatnonzero(tree.ids % every == 0)
+        hits, floors = [], np.full(len(asked), -np.inf)
+        for place, i in enumerate(asked):
+            best = tree.search(int(tree.ids[i]), tree.rows[i], k, float("-inf"))
+            hits += [{"query_id": int(tree.ids[i]), "vec_id": v, "score": s} for s, v in best]
+            if len(best) == k:
+                floors[place] = best[-1][0]
+        queries = pickle.dumps((tree.ids[asked], tree.rows[asked], floors), protocol=5) if len(asked) else None
+        root = tree.centres[0].astype(np.float64).tobytes()
+        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [number], "tree": [pickle.dumps(tree, protocol=5)], "centre": [root], "radius": [tree.radii[0]], "queries": [queries], "hits": [hits]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, number = None, TaskContext.get().partitionId() << 32
+        for pdf in frames:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            while len(held) >= 2 * shard_rows or (len(held) and held["dim"].iloc[0] != held["dim"].iloc[-1]):
+                n = min(shard_rows, int((held["dim"] == held["dim"].iloc[0]).sum()))
+                yield shard(held.iloc[:n], number)
+                held, number = held.iloc[n:].reset_index(drop=True), number + 1
+        if held is not None and len(held):
+            yield shard(held, number)
+
+    return run
+
+
+def _pack_roots(pdf: pd.DataFrame) -> pd.DataFrame:
+    packed = pickle.dumps((pdf["shard"].to_numpy(np.int64), stack(pdf["centre"], np.float64), pdf["radius"].to_numpy(np.float64)), protocol=5)
+    return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "pack": [pdf["pack"].iloc[0]], "roots": [packed]})
 
 
-def _pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
-    packed = pickle.dumps((pdf["vec_id"].to_numpy(np.int64), stack(pdf["v"], np.int64), pdf["floor"].to_numpy(np.float64)), protocol=5)
-    return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "block": [pdf["block"].iloc[0]], "queries": [packed]})
+def _prune(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For a block of queries and a pack of roots: the shards whose bound reaches a query's k-th score, with those queries."""
+    for pdf in frames:
+        for dim, home, queries, roots in zip(pdf["dim"], pdf["home"], pdf["queries"], pdf["roots"]):
+            ids, rows, floors = pickle.loads(queries)
+            shards, centres, radii = pickle.loads(roots)
+            bounds = upper_bounds(centres, radii, np.sqrt((centres**2).sum(axis=1)), rows.astype(np.float64))
+            reach = (bounds >= floors[:, None]) & (shards != home)[None, :]
+            out = [(int(shards[j]), pickle.dumps((ids[reach[:, j]], rows[reach[:, j]], floors[reach[:, j]]), protocol=5)) for j in np.flatnonzero(reach.any(axis=0))]
+            yield pd.DataFrame({"dim": dim, "shard": [o[0] for o in out], "home": home, "queries": [o[1] for o in out]})
 
 
 def _search(k: int):
-    def run(frames):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for tree, queries in zip(pdf["tree"], pdf["queries"]):
+            for tree, blocks in zip(pdf["tree"], pdf["blocks"]):
                 t = pickle.loads(tree)
-                ids, rows, floors = pickle.loads(queries)
-                out = [(int(i), hit, s) for i, q, f in zip(ids, rows, floors) for s, hit in t.search(int(i), q, k, f)]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                for ids, rows, floors in map(pickle.loads, blocks):
+                    out = [(int(i), hit, s) for i, q, f in zip(ids, rows, floors) for s, hit in t.search(int(i), q, k, f)]
+                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run
 
@@ -111,37 +168,35 @@ def quantised(vectors: DataFrame, key: str = "vec_id", column: str = "embedding"
     return one_row_an_id(rows, "vec_id")
 
 
-def top_k(rows: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 4096, block_rows: int = 512) -> DataFrame:
+def top_k(rows: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 4096, together: int = 16, pack: int = 1024, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score. Queries: ids divisible by `every`; candidates: all rows but the query's own.
 
     rows: (vec_id, v array<long>, dim), as `quantised` gives them. Vectors of another length than the
     query's are no candidates. Ties go to the smaller id; fewer candidates than k are all returned; an
-    empty table gives no row. Scores are exact as long as they fit in 64 bits.
+    empty table gives no row. Scores are exact as long as they fit in 64 bits. `together` blocks of queries
+    meet a shard at once; `pack` roots meet a block of queries at once.
     """
     spark = rows.sparkSession
     n = rows.count()
-    shards = max(1, -(-n // shard_rows))
-    blocks = max(1, -(-n // every // block_rows))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    trees = save(rows.withColumn("shard", shard).groupBy("dim", "shard").applyInPandas(_pack_trees, "dim int, shard int, tree binary"), 4096)
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    queries = save(rows.where(F.col("vec_id") % every == 0).withColumn("block", block))
-    empty = spark.createDataFrame([], HITS)
-    hits, floors = empty, None
-    # Shard numbers relative to the block's own, in three rounds.
-    cuts = sorted({0, min(1, shards), min(1 + -(-shards // 8), shards), shards})
-    for a, b in zip(cuts, cuts[1:]):
-        known = queries.withColumn("floor", F.lit(float("-inf"))) if floors is None else queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("kth", F.lit(float("-inf"))))
-        packed = known.groupBy("dim", "block").applyInPandas(_pack_queries, "dim int, block int, queries binary")
-        dealt = packed.withColumn("shard", F.explode(F.transform(F.sequence(F.lit(a), F.lit(b - 1)), lambda i: F.pmod(i + F.col("block"), F.lit(shards)).cast("int"))))
-        found = save(dealt.join(trees, ["dim", "shard"]).select("tree", "queries").mapInPandas(_search(k), HITS), 1)
-        hits = best_of(hits.unionByName(found), k)
-        if b < shards:
-            hits = save(hits)
-            floors = hits.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
-            hits = hits.drop("rank")
-    out = save(hits.select("query_id", "rank", "vec_id", "score"))
-    drop_saved(trees)
+    bits = int(min(40, max(0, np.ceil(np.log2(max(1, n / shard_rows))))))
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // shard_rows))
+    order = ["dim", "code", "fine", "vec_id"]
+    placed = save(rows.select("vec_id", "v", "dim").mapInPandas(_place(bits, seed), "vec_id long, v array<long>, dim int, code long, fine double"), 4096)
+    near = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("vec_id", "v", "dim")
+    shards = save(near.mapInPandas(_grow_shards(shard_rows, k, every), SHARD), 4096)
+    own = shards.select(F.explode("hits").alias("h")).select("h.*")
+    # Centres are a row a shard; a copy of each pack of them goes to every slice of the query blocks, so no task takes all of either.
+    packs = F.pmod(F.xxhash64("shard"), F.lit(max(1, -(-n // shard_rows // pack)))).cast("int")
+    roots = save(shards.select("dim", "shard", "centre", "radius", packs.alias("pack")).groupBy("dim", "pack").applyInPandas(_pack_roots, "dim int, pack int, roots binary"))
+    asked = shards.where(F.col("queries").isNotNull()).select("dim", F.col("shard").alias("home"), "queries", F.pmod(F.xxhash64("shard"), F.lit(tasks)).cast("int").alias("slice"))
+    dealt = roots.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    reach = save(asked.join(dealt, ["dim", "slice"]).select("dim", "home", "queries", "roots").mapInPandas(_prune, "dim int, shard long, home long, queries binary"), 16)
+    sizes = reach.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(together)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("home"), F.col("parts")).alias("part")
+    blocks = reach.join(sizes, "shard").groupBy("shard", part).agg(F.collect_list("queries").alias("blocks"))
+    far = save(blocks.join(shards.select("shard", "tree"), "shard").select("tree", "blocks").mapInPandas(_search(k), HITS), 1)
+    out = save(best_of(own.unionByName(far), k).select("query_id", "rank", "vec_id", "score"))
+    drop_saved(placed, shards, roots, reach, far)
     return out
 
 

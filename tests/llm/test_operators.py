@@ -147,7 +147,7 @@ def test_nearest_of_small_tables(spark):
 def test_ball_tree_exact(vectors):
     x, df = vectors
     got = defaultdict(list)
-    for r in sorted(balltree.top_k(balltree.quantised(df), shard_rows=100, block_rows=3).collect(), key=lambda r: r["rank"]):
+    for r in sorted(balltree.top_k(balltree.quantised(df), shard_rows=100, together=2, pack=2).collect(), key=lambda r: r["rank"]):
         got[r.query_id].append((r.vec_id, r.score))
     ints = np.vstack([np.floor(1024 * x.astype(np.float64)).astype(np.int64), np.zeros((1, 16), np.int64)])
     ids = np.array([*range(700), 1100])
