@@ -3,7 +3,9 @@
 Start: several random projections order the rows; each run of `block` rows in such an order is compared
 within itself, and every row keeps its `degree` best. Descent: a row's neighbours and the rows that have it
 as a neighbour are neighbours of neighbours of each other; a join brings their vectors together at the row
-between them, which offers each pair to both ends if it beats their worst neighbour so far. Rows with many
+between them, which offers each pair to both ends if it beats their worst neighbour so far. Pairs that were
+both neighbours of that row a round ago have been compared there and are not again, and rows with no new link send
+nothing. Rounds end when few links are new. Rows with many
 in-links are dealt to several groups, so no group is large and no in-link is dropped.
 Queries search greedily: each round joins the best rows not yet opened to their neighbours in the graph,
 scores those, and keeps the `beam` best. Scores are recomputed at the end from the original vectors, in double precision.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import drop_saved, free_shuffles, save
 from .vectors import finite, one_row_an_id, stack
 
-LISTS = "id long, ids array<long>, sims array<float>"
+LISTS = "id long, ids array<long>, sims array<float>, fresh array<boolean>"
 
 
 def unit_rows(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -53,7 +55,7 @@ def _compare_blocks(block: int, degree: int):
         sims = x @ x.T
         np.fill_diagonal(sims, -2.0)
         best = _top(sims, min(degree, len(ids) - 1))
-        return pd.DataFrame({"id": ids, "ids": list(ids[best]), "sims": list(np.take_along_axis(sims, best, axis=1))})
+        return pd.DataFrame({"id": ids, "ids": list(ids[best]), "sims": list(np.take_along_axis(sims, best, axis=1)), "fresh": list(np.ones(best.shape, bool))})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -90,34 +92,36 @@ def _project(trees: int, bits: int, seed: int):
 
 
 def _merge(parts: pd.Series, degree: pd.Series, own: pd.Series) -> pd.DataFrame:
-    out_ids, out_sims = [], []
+    out = []
     for cell, k, me in zip(parts, degree, own):
         ids = np.concatenate([np.asarray(p["ids"], np.int64) for p in cell])
         sims = np.concatenate([np.asarray(p["sims"], np.float32) for p in cell])
+        fresh = np.concatenate([np.asarray(p["fresh"], bool) for p in cell])
+        known = ids[~fresh]
         order = np.lexsort((ids, -sims))
         ids, sims = ids[order], sims[order]
         _, first = np.unique(ids, return_index=True)
         first = np.sort(first[ids[first] != me])[:k]
-        out_ids.append(ids[first])
-        out_sims.append(sims[first])
-    return pd.DataFrame({"ids": out_ids, "sims": out_sims})
+        out.append((ids[first], sims[first], ~np.isin(ids[first], known)))
+    return pd.DataFrame(out, columns=["ids", "sims", "fresh"])
 
 
 def _best_lists(parts: DataFrame, degree: int) -> DataFrame:
-    merged = parts.groupBy("id").agg(F.collect_list(F.struct("ids", "sims")).alias("parts"))
-    merge = F.pandas_udf(_merge, "ids array<long>, sims array<float>")
-    return merged.select("id", merge("parts", F.lit(degree), "id").alias("m")).select("id", "m.ids", "m.sims")
+    merged = parts.groupBy("id").agg(F.collect_list(F.struct("ids", "sims", "fresh")).alias("parts"))
+    merge = F.pandas_udf(_merge, "ids array<long>, sims array<float>, fresh array<boolean>")
+    return merged.select("id", merge("parts", F.lit(degree), "id").alias("m")).select("id", "m.ids", "m.sims", "m.fresh")
 
 
 def _local_join(offer: int):
-    def offers(ids: np.ndarray, x: np.ndarray, worst: np.ndarray, seen: list) -> None:
+    def offers(ids: np.ndarray, x: np.ndarray, worst: np.ndarray, fresh: np.ndarray, seen: list) -> None:
         sims = x @ x.T
+        sims[~(fresh[:, None] | fresh[None, :])] = -2.0
         np.fill_diagonal(sims, -2.0)
         best = _top(sims, offer)
         got = np.take_along_axis(sims, best, axis=1)
         for i in np.flatnonzero(got[:, 0] > worst):
             good = got[i] > worst[i]
-            seen.append((ids[i], ids[best[i][good]], got[i][good]))
+            seen.append((ids[i], ids[best[i][good]], got[i][good], np.ones(good.sum(), bool)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -133,18 +137,19 @@ def _local_join(offer: int):
     def done(pdf: pd.DataFrame, cut: np.ndarray) -> Iterator[pd.DataFrame]:
         if not len(pdf):
             return
-        ids, x, worst, seen = pdf["member"].to_numpy(), stack(pdf["unit"], np.float32), pdf["worst"].to_numpy(), []
+        ids, x, worst, fresh, seen = pdf["member"].to_numpy(), stack(pdf["unit"], np.float32), pdf["worst"].to_numpy(), pdf["fresh"].to_numpy(bool), []
         for a, b in zip(cut, cut[1:]):
             if b - a > 1:
-                offers(ids[a:b], x[a:b], worst[a:b], seen)
+                offers(ids[a:b], x[a:b], worst[a:b], fresh[a:b], seen)
         if seen:
-            yield pd.DataFrame(seen, columns=["id", "ids", "sims"])
+            yield pd.DataFrame(seen, columns=["id", "ids", "sims", "fresh"])
 
     return run
 
 
-def build_graph(rows: DataFrame, degree: int = 32, trees: int = 4, block: int = 512, rounds: int = 4, group: int = 96, seed: int = 11) -> DataFrame:
-    """rows: (id, dim, unit). Gives (id, ids, sims): each row's neighbours found, best first."""
+def build_graph(rows: DataFrame, degree: int = 32, trees: int = 4, block: int = 512, rounds: int = 8, settled: float = 0.1, group: int = 96, seed: int = 11) -> DataFrame:
+    """rows: (id, dim, unit). Gives (id, ids, sims, fresh): each row's neighbours found, best first. Descent ends when no more than
+    a share `settled` of the links is new, after `rounds` at the latest."""
     spark = rows.sparkSession
     n = rows.count()
     bits = int(min(40, max(0, np.ceil(np.log2(max(1, n / block))))))
@@ -161,14 +166,20 @@ def build_graph(rows: DataFrame, degree: int = 32, trees: int = 4, block: int =
     drop_saved(coded)
     free_shuffles(spark)
     for _ in range(rounds):
-        links = graph.select("id", F.explode("ids").alias("other"))
-        pairs = links.select(F.col("id").alias("center"), F.col("other").alias("member")).unionByName(links.select(F.col("other").alias("center"), F.col("id").alias("member"))).distinct()
-        sizes = pairs.groupBy("center").agg(F.ceil(F.count("*") / F.lit(group)).cast("int").alias("parts"))
-        dealt = pairs.join(sizes, "center").select("center", "member", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"))
+        counts = graph.select(F.sum(F.size("ids")).alias("links"), F.sum(F.size(F.filter("fresh", lambda x: x))).alias("fresh")).first()
+        if not counts.fresh or counts.fresh <= settled * counts.links:
+            break
+        links = graph.select("id", F.explode(F.arrays_zip("ids", "fresh")).alias("z")).select("id", F.col("z.ids").alias("other"), F.col("z.fresh").alias("fresh"))
+        ends = links.select(F.col("id").alias("center"), F.col("other").alias("member"), "fresh").unionByName(links.select(F.col("other").alias("center"), F.col("id").alias("member"), "fresh"))
+        # A link known from either end was there a round ago.
+        pairs = ends.groupBy("center", "member").agg(F.min("fresh").alias("fresh"))
+        sizes = pairs.groupBy("center").agg(F.ceil(F.count("*") / F.lit(group)).cast("int").alias("parts"), F.max("fresh").alias("moved")).where("moved").drop("moved")
+        dealt = pairs.join(sizes, "center").select("center", "member", "fresh", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"))
         known = rows.select(F.col("id").alias("member"), "unit").join(graph.select(F.col("id").alias("member"), F.when(F.size("sims") < degree, F.lit(-2.0)).otherwise(F.array_min("sims")).cast("float").alias("worst")), "member")
         met = dealt.join(known, "member").repartition("center", "part").sortWithinPartitions("center", "part")
-        offered = met.select("center", "part", "member", "unit", "worst").mapInPandas(_local_join(8), LISTS)
-        new = save(_best_lists(graph.unionByName(offered), degree), 4096)
+        offered = met.select("center", "part", "member", "unit", "worst", "fresh").mapInPandas(_local_join(8), LISTS)
+        old = graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False)))
+        new = save(_best_lists(old.unionByName(offered), degree), 4096)
         drop_saved(graph)
         free_shuffles(spark)
         graph = new
