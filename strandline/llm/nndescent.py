@@ -3,7 +3,8 @@
 Start: several random projections order the rows; each run of `block` rows in such an order is compared
 within itself, and every row keeps its `degree` best. Descent: a row's neighbours and the rows that have it
 as a neighbour are neighbours of neighbours of each other; a join brings their vectors together at the row
-between them, which offers each pair to both ends if it beats their worst neighbour so far. Pairs that were
+between them, which offers each pair to both ends if it beats their worst neighbour so far; a batch reduces its offers
+to each row's best before they are shuffled. Pairs that were
 both neighbours of that row a round ago have been compared there and are not again, and rows with no new link send
 nothing. Rounds end when few links are new. Rows with many
 in-links are dealt to several groups, so no group is large and no in-link is dropped.
@@ -112,7 +113,23 @@ def _best_lists(parts: DataFrame, degree: int) -> DataFrame:
     return merged.select("id", merge("parts", F.lit(degree), "id").alias("m")).select("id", "m.ids", "m.sims", "m.fresh")
 
 
-def _local_join(offer: int):
+def _best_offers(seen: list[tuple], degree: int) -> pd.DataFrame:
+    """One row for each id of a batch, with the `degree` best of all that was offered to it."""
+    ids = np.repeat(np.array([s[0] for s in seen]), [len(s[1]) for s in seen])
+    others, sims = np.concatenate([s[1] for s in seen]), np.concatenate([s[2] for s in seen])
+    order = np.lexsort((-sims, others, ids))
+    ids, others, sims = ids[order], others[order], sims[order]
+    new = np.append(True, (ids[1:] != ids[:-1]) | (others[1:] != others[:-1]))
+    ids, others, sims = ids[new], others[new], sims[new]
+    order = np.lexsort((others, -sims, ids))
+    ids, others, sims = ids[order], others[order], sims[order]
+    start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    size = np.diff(np.append(start, len(ids)))
+    cut = [slice(a, a + min(n, degree)) for a, n in zip(start, size)]
+    return pd.DataFrame({"id": ids[start], "ids": [others[c] for c in cut], "sims": [sims[c] for c in cut], "fresh": [np.ones(c.stop - c.start, bool) for c in cut]})
+
+
+def _local_join(offer: int, degree: int):
     def offers(ids: np.ndarray, x: np.ndarray, worst: np.ndarray, fresh: np.ndarray, seen: list) -> None:
         sims = x @ x.T
         sims[~(fresh[:, None] | fresh[None, :])] = -2.0
@@ -121,7 +138,7 @@ def _local_join(offer: int):
         got = np.take_along_axis(sims, best, axis=1)
         for i in np.flatnonzero(got[:, 0] > worst):
             good = got[i] > worst[i]
-            seen.append((ids[i], ids[best[i][good]], got[i][good], np.ones(good.sum(), bool)))
+            seen.append((ids[i], ids[best[i][good]], got[i][good]))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -142,7 +159,7 @@ def _local_join(offer: int):
             if b - a > 1:
                 offers(ids[a:b], x[a:b], worst[a:b], fresh[a:b], seen)
         if seen:
-            yield pd.DataFrame(seen, columns=["id", "ids", "sims", "fresh"])
+            yield _best_offers(seen, degree)
 
     return run
 
@@ -177,7 +194,7 @@ def build_graph(rows: DataFrame, degree: int = 32, trees: int = 4, block: int =
         dealt = pairs.join(sizes, "center").select("center", "member", "fresh", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"))
         known = rows.select(F.col("id").alias("member"), "unit").join(graph.select(F.col("id").alias("member"), F.when(F.size("sims") < degree, F.lit(-2.0)).otherwise(F.array_min("sims")).cast("float").alias("worst")), "member")
         met = dealt.join(known, "member").repartition("center", "part").sortWithinPartitions("center", "part")
-        offered = met.select("center", "part", "member", "unit", "worst", "fresh").mapInPandas(_local_join(8), LISTS)
+        offered = met.select("center", "part", "member", "unit", "worst", "fresh").mapInPandas(_local_join(8, degree), LISTS)
         old = graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False)))
         new = save(_best_lists(old.unionByName(offered), degree), 4096)
         drop_saved(graph)
@@ -198,13 +215,13 @@ def search(rows: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = 16
     Gives (query, id, sim) for each query's beam. Rows never opened cost nothing."""
     own = graph.select(F.col("id").alias("query"), F.arrays_zip("ids", "sims").alias("z"))
     beams = save(queries.join(own, "query").select("query", F.explode("z").alias("z")).select("query", F.col("z.ids").alias("id"), F.col("z.sims").alias("sim"), F.lit(False).alias("opened")))
-    back = graph.select("id", F.explode("ids").alias("other"))
-    reverse = back.groupBy(F.col("other").alias("id")).agg(F.collect_list("id").alias("into"))
-    around = save(graph.join(reverse, "id", "left").select("id", F.array_union("ids", F.coalesce("into", F.array().cast("array<long>"))).alias("ids")))
+    # Links as rows, in both directions: a hub's in-links are no list that one task must hold.
+    links = graph.select("id", F.explode("ids").alias("other"))
+    around = save(links.unionByName(links.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct())
     for _ in range(rounds):
         rank = Window.partitionBy("query").orderBy("opened", F.desc("sim"), "id")
         marked = beams.withColumn("r", F.row_number().over(rank)).withColumn("now", ~F.col("opened") & (F.col("r") <= open_each))
-        near = marked.where("now").select("query", "id").join(around, "id").select("query", F.explode("ids").alias("id")).distinct()
+        near = marked.where("now").select("query", "id").join(around, "id").select("query", F.col("other").alias("id")).distinct()
         fresh = near.where("query <> id").join(beams.select("query", "id"), ["query", "id"], "left_anti")
         scored = fresh.join(queries, "query").join(rows.select("id", "unit"), "id").select("query", "q", "id", "unit").mapInPandas(_score, "query long, id long, sim float, opened boolean")
         both = marked.select("query", "id", "sim", (F.col("opened") | F.col("now")).alias("opened")).unionByName(scored)
@@ -212,6 +229,7 @@ def search(rows: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = 16
         after = save(both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"), 4096)
         drop_saved(beams)
         beams = after
+    drop_saved(around)
     return beams.select("query", "id", "sim")
 
 
