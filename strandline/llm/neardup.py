@@ -324,9 +324,10 @@ def text_classes(docs: DataFrame, text: str = "text", p: Params = Params()) -> D
     labels = components(found)
     # Every member was compared with the pivot; pairs among the others are open where they differ in class.
     rest = _labelled(members.where("key <> pivot").select("bucket", "key"), labels, "key", "label")
-    mixed = rest.groupBy("bucket").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("_n"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("_sum")).where("_a <> _b")
-    # Buckets of several bands with the very same members are compared once.
-    once = mixed.groupBy("_n", "_sum").agg(F.min("bucket").alias("bucket"))
+    sums = [F.sum(F.xxhash64("key", F.lit(i)).cast("decimal(20,0)")).alias(f"_sum{i}") for i in range(2)]
+    mixed = rest.groupBy("bucket").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("_n"), *sums).where("_a <> _b")
+    # Buckets of several bands with the very same members (equal in number and in two independent 64-bit sums) are compared once.
+    once = mixed.groupBy("_n", "_sum0", "_sum1").agg(F.min("bucket").alias("bucket"))
     open_members = save(rest.join(once.select("bucket"), "bucket"))
     extra = _blocks(open_members, texts, p)
     if not extra.isEmpty():
