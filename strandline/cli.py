@@ -17,6 +17,7 @@ LOG = logging.getLogger("strandline")
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strandline", description="Turn history files into per-variable time series.")
+    # Names, short forms and defaults of the options.
     p.add_argument("hf_head_dir", help="directory of the history files")
     p.add_argument("-o", "--outputdir", help="directory of the series (default: the input directory)")
     p.add_argument("-v", "--verbose", action="store_true", help="log settings and figures")
@@ -43,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
         if given := getattr(args, name):
             setattr(conf, name, [*getattr(conf, name), *given] if args.append else given)
     LOG.info("settings: %s; %s", vars(args), conf)
-    spark = build_session("strandline-cli", **{"spark.sql.shuffle.partitions": str(args.tscores)})
+    spark = build_session("strandline-cli", **{"spark.sql.files.minPartitionNum": str(args.hfcores)})
     ship(spark)
     files: HistoryCollection = conf.history(spark, args.hf_head_dir, args.slice, args.slice_start_year, args.align_method)
     orders = conf.orders(files, args.outputdir or args.hf_head_dir, overwrite=args.overwrite)
@@ -51,9 +52,10 @@ def main(argv: list[str] | None = None) -> int:
     LOG.info("%s", collection_stats(files.grouped()).first())
     LOG.info("%s", order_stats(orders.frame).first())
     if args.dryrun:
-        print(f"Dry run: {len(orders)} time series would be written.")
+        for r in orders.frame.groupBy("group_id", "slice_start", "slice_end").count().orderBy("group_id", "slice_start").toLocalIterator():
+            print(f"{r['group_id']} {r['slice_start']} to {r['slice_end']}: {r['count']} time series")
         return 0
-    failed = [r for r in orders.execute().collect() if r["error"]]
+    failed = [r for r in orders.execute(tasks=args.tscores).collect() if r["error"]]
     for r in failed:
         LOG.error("%s: %s", r["out_path"], r["error"])
     return 1 if failed else 0

@@ -171,14 +171,14 @@ class OrderCollection:
         dealt = orders.withColumn("batch", batch).groupBy("group_id", "slice_start", "slice_end", "batch")
         return dealt.agg(F.first("hf_paths").alias("hf_paths"), F.collect_list(F.struct(*columns)).alias("orders"))
 
-    def execute(self, optimize: bool = True, optimize_batch_n: int = 200, raise_errors: bool = False) -> DataFrame:
-        """Write every order that is not complete yet: (out_path, status, error). A task opens a group's files once for
+    def execute(self, optimize: bool = True, optimize_batch_n: int = 200, raise_errors: bool = False, tasks: int = MOST_TASKS) -> DataFrame:
+        """Write every order that is not complete yet: (out_path, status, error), in `tasks` tasks at most. A task opens a group's files once for
         up to optimize_batch_n variables. Outputs are written beside their place and renamed, so a task that is run
         again leaves whole files. Paths must be on a file system that all executors mount."""
         ship(self.frame.sparkSession)
         batches = self.batches(optimize, optimize_batch_n).cache()
         # A stated number of tasks: rows are few and small, and would be coalesced into one task otherwise.
-        spread = batches.select("hf_paths", "orders").repartition(max(1, min(batches.count(), MOST_TASKS)))
+        spread = batches.select("hf_paths", "orders").repartition(max(1, min(batches.count(), tasks)))
         rows = spread.mapInPandas(_write_batches(list(history.DONE_MARKERS)), STATUS).collect()  # one short row an output; writing happens here, once
         batches.unpersist()
         LOG.info("outputs: %s", dict(Counter(r["status"] for r in rows)))

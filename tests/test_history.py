@@ -191,7 +191,9 @@ def test_cli(spark, tmp_path, capsys):
     cases.monthly(head, 3)
     assert cli.main([head, "-d", "-m", "E3SM"]) == 0
     assert "2 time series" in capsys.readouterr().out
-    assert cli.main([head, "-o", str(tmp_path / "o"), "--exclude", "*-03.nc", "--append"]) == 0
+    assert cli.main([head, "-o", str(tmp_path / "o"), "--exclude", "*-03.nc", "--append", "-hc", "3", "-tc", "1"]) == 0
+    assert spark.conf.get("spark.sql.files.minPartitionNum") == "3"
+    spark.conf.unset("spark.sql.files.minPartitionNum")
     assert os.path.exists(f"{tmp_path}/o/atm/hist/month_1/case.h0.VAR0.185001-185002.nc")
     with pytest.raises(ValueError):
         preset("other")
