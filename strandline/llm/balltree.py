@@ -1,11 +1,11 @@
 """Exact top-k by inner product: a ball tree for each shard, branch and bound, shared k-th scores.
 
 Rows are ordered by random projections, so that near rows stand together, and each run of about `shard_rows` rows becomes
-one packed ball tree. A node bounds the inner product of a query q with any row below it by q.c + |q| r (c its centre, r its
+one packed ball tree; on large tables neighbouring trees make a team. A node bounds the inner product of a query q with any row below it by q.c + |q| r (c its centre, r its
 radius); nodes are visited in the order of that bound, and a search ends when the best bound left is below
-the query's current k-th score. A query first searches the shard it lies in, where its tree is built; the k-th score found
-there goes with it, and it is sent only to shards whose root bound reaches that score: a k-th score over any
-subset is a lower bound for the whole, so no result can be lost.
+the query's current k-th score. A query first searches the team it lies in, where its tree is built; the k-th score found
+there goes with it, and it is sent, once, only to teams with a root bound that reaches that score: a k-th score over any
+subset is a lower bound for the whole, so no result can be lost. Neither queries nor trees nor copies of roots pass through the driver.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_saved, save
+from .shared import by_bytes, drop_saved, save
 from .vectors import finite, one_row_an_id, stack
 
 HITS = "query_id long, vec_id long, score long"
-SHARD = f"dim int, shard long, tree binary, centre binary, radius double, queries binary, hits array<struct<{HITS.replace(' long', ': long')}>>"
+TEAM = f"dim int, team long, trees array<binary>, centres binary, radii binary, queries binary, hits array<struct<{HITS.replace(' long', ': long')}>>"
+TEAM_BYTES, SLICE_BYTES = 32 << 20, 1 << 20
 
 
 def upper_bounds(centres: np.ndarray, radii: np.ndarray, norms: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -33,6 +34,12 @@ def upper_bounds(centres: np.ndarray, radii: np.ndarray, norms: np.ndarray, quer
     return queries @ centres.T + radii * lengths + 1e-9 * (norms + radii) * lengths + 1e-6
 
 
+def narrow(rows: np.ndarray) -> np.ndarray:
+    """The same integers in the smallest of three types that holds them all."""
+    low, high = (int(rows.min()), int(rows.max())) if rows.size else (0, 0)
+    return rows.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
 class BallTree:
     def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int = 64) -> None:
         """rows: int64 matrix."""
@@ -57,14 +64,14 @@ class BallTree:
                 order[a:b] = order[a:b][by]
                 mid = (a + b) // 2
                 todo += [(a, mid, me, False), (mid, b, me, True)]
-        self.ids, self.rows = ids[order], rows[order]
+        self.ids, self.rows = ids[order], narrow(rows[order])
         self.centres, self.radii = np.array(centres), np.array(radii)
         self.norms = np.sqrt((self.centres**2).sum(axis=1))
         self.top = int(np.abs(rows).max()) if rows.size else 0
 
     def search(self, query_id: int, q: np.ndarray, k: int, floor: float, seen: list[int] | None = None) -> list[tuple[int, int]]:
         """(score, id) of up to k rows other than the query's own that score at least `floor`, best first."""
-        x = q.astype(np.float64)
+        q, x = q.astype(np.int64), q.astype(np.float64)
         bound = upper_bounds(self.centres, self.radii, self.norms, x[None, :])[0]
         exact = float(self.top) * float(np.abs(q).max(initial=0)) * len(q) < 2.0**53
         heap = [(-bound[0], 0)]
@@ -81,7 +88,7 @@ class BallTree:
             a, b = self.low[node], self.high[node]
             if seen is not None:
                 seen.append(b - a)
-            scores = (self.rows[a:b].astype(np.float64) @ x).astype(np.int64) if exact else self.rows[a:b] @ q
+            scores = (self.rows[a:b].astype(np.float64) @ x).astype(np.int64) if exact else self.rows[a:b].astype(np.int64) @ q
             good = np.flatnonzero(scores >= least)
             for s, i in zip(scores[good].tolist(), self.ids[a:b][good].tolist()):
                 if i != query_id:
@@ -103,59 +110,93 @@ def _place(bits: int, seed: int):
     return run
 
 
-def _grow_shards(shard_rows: int, k: int, every: int):
-    """Each run of `shard_rows` rows of one length becomes a tree, which answers its own queries at once."""
-    def shard(pdf: pd.DataFrame, number: int) -> pd.DataFrame:
-        tree = BallTree(pdf["vec_id"].to_numpy(np.int64), stack(pdf["v"], np.int64))
-        asked = np.flatnonzero(tree.ids % every == 0)
-        hits, floors = [], np.full(len(asked), -np.inf)
-        for place, i in enumerate(asked):
-            best = tree.search(int(tree.ids[i]), tree.rows[i], k, float("-inf"))
-            hits += [{"query_id": int(tree.ids[i]), "vec_id": v, "score": s} for s, v in best]
+def _search_trees(trees: list[BallTree], ids: np.ndarray, rows: np.ndarray, floors: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """For each query its id and (score, id) of up to k rows of all trees that score at least its floor, best first."""
+    centres, radii = np.array([t.centres[0] for t in trees]), np.array([t.radii[0] for t in trees])
+    bounds = upper_bounds(centres, radii, np.sqrt((centres**2).sum(axis=1)), rows.astype(np.float64))
+    for i, q, least, bound in zip(ids.tolist(), rows, floors.tolist(), bounds):
+        best: list[tuple[int, int]] = []
+        for j in np.argsort(-bound):
+            if bound[j] < least:
+                break
+            best = sorted(best + trees[j].search(i, q, k, least), key=lambda hit: (-hit[0], hit[1]))[:k]
+            if len(best) == k:
+                least = max(least, best[-1][0])
+        yield i, best
+
+
+def _shards(frames: Iterator[pd.DataFrame], shard_rows: int) -> Iterator[pd.DataFrame]:
+    """Runs of `shard_rows` rows of one length; the last of a length holds what is left, below twice as many."""
+    held = None
+    for pdf in frames:
+        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        while len(held) >= 2 * shard_rows or (len(held) and held["dim"].iloc[0] != held["dim"].iloc[-1]):
+            n = min(shard_rows, int((held["dim"] == held["dim"].iloc[0]).sum()))
+            yield held.iloc[:n]
+            held = held.iloc[n:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
+
+
+def _grow_teams(shard_rows: int, team: int, k: int, every: int):
+    """Each shard becomes a tree, `team` trees of one length in a row a team, which answers its own queries at once."""
+    def grown(trees: list[BallTree], dim: int, number: int) -> pd.DataFrame:
+        asked = [np.flatnonzero(t.ids % every == 0) for t in trees]
+        ids, rows = np.concatenate([t.ids[a] for t, a in zip(trees, asked)]), np.concatenate([t.rows[a] for t, a in zip(trees, asked)])
+        hits, floors = [], np.full(len(ids), -np.inf)
+        for place, (i, best) in enumerate(_search_trees(trees, ids, rows, floors, k)):
+            hits += [{"query_id": i, "vec_id": v, "score": s} for s, v in best]
             if len(best) == k:
                 floors[place] = best[-1][0]
-        queries = pickle.dumps((tree.ids[asked], tree.rows[asked], floors), protocol=5) if len(asked) else None
-        root = tree.centres[0].astype(np.float64).tobytes()
-        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [number], "tree": [pickle.dumps(tree, protocol=5)], "centre": [root], "radius": [tree.radii[0]], "queries": [queries], "hits": [hits]})
+        queries = pickle.dumps((number, ids, rows, floors), protocol=5) if len(ids) else None
+        roots, radii = np.array([t.centres[0] for t in trees], np.float64), np.array([t.radii[0] for t in trees], np.float64)
+        return pd.DataFrame({"dim": [dim], "team": [number], "trees": [[pickle.dumps(t, protocol=5) for t in trees]], "centres": [roots.tobytes()], "radii": [radii.tobytes()], "queries": [queries], "hits": [hits]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, number = None, TaskContext.get().partitionId() << 32
-        for pdf in frames:
-            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            while len(held) >= 2 * shard_rows or (len(held) and held["dim"].iloc[0] != held["dim"].iloc[-1]):
-                n = min(shard_rows, int((held["dim"] == held["dim"].iloc[0]).sum()))
-                yield shard(held.iloc[:n], number)
-                held, number = held.iloc[n:].reset_index(drop=True), number + 1
-        if held is not None and len(held):
-            yield shard(held, number)
+        trees, dim, number = [], 0, TaskContext.get().partitionId() << 32
+        for own in _shards(frames, shard_rows):
+            if trees and (len(trees) == team or own["dim"].iloc[0] != dim):
+                yield grown(trees, dim, number)
+                trees, number = [], number + 1
+            dim = int(own["dim"].iloc[0])
+            trees.append(BallTree(own["vec_id"].to_numpy(np.int64), stack(own["v"], np.int64)))
+        if trees:
+            yield grown(trees, dim, number)
 
     return run
 
 
 def _pack_roots(pdf: pd.DataFrame) -> pd.DataFrame:
-    packed = pickle.dumps((pdf["shard"].to_numpy(np.int64), stack(pdf["centre"], np.float64), pdf["radius"].to_numpy(np.float64)), protocol=5)
-    return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "pack": [pdf["pack"].iloc[0]], "roots": [packed]})
+    """The roots of whole teams, one team after the other."""
+    dim, radii = int(pdf["dim"].iloc[0]), [np.frombuffer(r, np.float64) for r in pdf["radii"]]
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in radii])[:-1]])
+    packed = pickle.dumps((pdf["team"].to_numpy(np.int64), starts, np.frombuffer(b"".join(pdf["centres"]), np.float64).reshape(-1, dim), np.concatenate(radii)), protocol=5)
+    return pd.DataFrame({"dim": [dim], "pack": [pdf["pack"].iloc[0]], "roots": [packed]})
 
 
 def _prune(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For a block of queries and a pack of roots: the shards whose bound reaches a query's k-th score, with those queries."""
+    """For a slice of the queries and a pack of roots: the teams with a bound that reaches a query's k-th score, with those queries."""
     for pdf in frames:
-        for dim, home, queries, roots in zip(pdf["dim"], pdf["home"], pdf["queries"], pdf["roots"]):
-            ids, rows, floors = pickle.loads(queries)
-            shards, centres, radii = pickle.loads(roots)
+        for dim, number, blocks, roots in zip(pdf["dim"], pdf["slice"], pdf["asked"], pdf["roots"]):
+            teams, starts, centres, radii = pickle.loads(roots)
+            homes, ids, rows, floors = zip(*map(pickle.loads, blocks))
+            homes, ids, rows, floors = np.repeat(homes, [len(i) for i in ids]), np.concatenate(ids), np.concatenate(rows), np.concatenate(floors)
             bounds = upper_bounds(centres, radii, np.sqrt((centres**2).sum(axis=1)), rows.astype(np.float64))
-            reach = (bounds >= floors[:, None]) & (shards != home)[None, :]
-            out = [(int(shards[j]), pickle.dumps((ids[reach[:, j]], rows[reach[:, j]], floors[reach[:, j]]), protocol=5)) for j in np.flatnonzero(reach.any(axis=0))]
-            yield pd.DataFrame({"dim": dim, "shard": [o[0] for o in out], "home": home, "queries": [o[1] for o in out]})
+            reach = np.logical_or.reduceat(bounds >= floors[:, None], starts, axis=1) & (teams[None, :] != homes[:, None])
+            sizes = reach.sum(axis=0)
+            some = np.flatnonzero(sizes)
+            for a, b in by_bytes((sizes[some] * rows[:1].nbytes).tolist(), 4 * SLICE_BYTES):
+                out = [pickle.dumps((ids[reach[:, j]], rows[reach[:, j]], floors[reach[:, j]]), protocol=5) for j in some[a:b]]
+                yield pd.DataFrame({"dim": dim, "team": teams[some[a:b]], "slice": number, "queries": out})
 
 
 def _search(k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for tree, blocks in zip(pdf["tree"], pdf["blocks"]):
-                t = pickle.loads(tree)
+            for packed, blocks in zip(pdf["trees"], pdf["blocks"]):
+                trees = [pickle.loads(t) for t in packed]
                 for ids, rows, floors in map(pickle.loads, blocks):
-                    out = [(int(i), hit, s) for i, q, f in zip(ids, rows, floors) for s, hit in t.search(int(i), q, k, f)]
+                    out = [(i, hit, s) for i, best in _search_trees(trees, ids, rows, floors, k) for s, hit in best]
                     yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run
@@ -168,35 +209,39 @@ def quantised(vectors: DataFrame, key: str = "vec_id", column: str = "embedding"
     return one_row_an_id(rows, "vec_id")
 
 
-def top_k(rows: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 4096, together: int = 16, pack: int = 1024, seed: int = 5) -> DataFrame:
+def top_k(rows: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 4096, together: int = 16, pack: int = 1024, seed: int = 5, team: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score. Queries: ids divisible by `every`; candidates: all rows but the query's own.
 
     rows: (vec_id, v array<long>, dim), as `quantised` gives them. Vectors of another length than the
     query's are no candidates. Ties go to the smaller id; fewer candidates than k are all returned; an
-    empty table gives no row. Scores are exact as long as they fit in 64 bits. `together` blocks of queries
-    meet a shard at once; `pack` roots meet a block of queries at once.
+    empty table gives no row. Scores are exact as long as they fit in 64 bits. `team` shards are searched at once (by default
+    one up to 127 shards, then a 64th of them, up to about 32 MB); `together` blocks of queries, each of about a MB at most, meet a team at
+    once; about `pack` roots meet a slice of the queries at once.
     """
     spark = rows.sparkSession
-    n = rows.count()
+    n, asks, width = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.coalesce(F.avg("dim"), F.lit(1.0))).first()
     bits = int(min(40, max(0, np.ceil(np.log2(max(1, n / shard_rows))))))
     tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // shard_rows))
+    team = team or max(1, min(n // shard_rows // 64, int(TEAM_BYTES / (8 * width * shard_rows))))
+    slices = max(1, int(np.ceil(8 * width * asks / SLICE_BYTES)))
     order = ["dim", "code", "fine", "vec_id"]
     placed = save(rows.select("vec_id", "v", "dim").mapInPandas(_place(bits, seed), "vec_id long, v array<long>, dim int, code long, fine double"), 4096)
     near = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("vec_id", "v", "dim")
-    shards = save(near.mapInPandas(_grow_shards(shard_rows, k, every), SHARD), 4096)
-    own = shards.select(F.explode("hits").alias("h")).select("h.*")
-    # Centres are a row a shard; a copy of each pack of them goes to every slice of the query blocks, so no task takes all of either.
-    packs = F.pmod(F.xxhash64("shard"), F.lit(max(1, -(-n // shard_rows // pack)))).cast("int")
-    roots = save(shards.select("dim", "shard", "centre", "radius", packs.alias("pack")).groupBy("dim", "pack").applyInPandas(_pack_roots, "dim int, pack int, roots binary"))
-    asked = shards.where(F.col("queries").isNotNull()).select("dim", F.col("shard").alias("home"), "queries", F.pmod(F.xxhash64("shard"), F.lit(tasks)).cast("int").alias("slice"))
-    dealt = roots.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    reach = save(asked.join(dealt, ["dim", "slice"]).select("dim", "home", "queries", "roots").mapInPandas(_prune, "dim int, shard long, home long, queries binary"), 16)
-    sizes = reach.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(together)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("home"), F.col("parts")).alias("part")
-    blocks = reach.join(sizes, "shard").groupBy("shard", part).agg(F.collect_list("queries").alias("blocks"))
-    far = save(blocks.join(shards.select("shard", "tree"), "shard").select("tree", "blocks").mapInPandas(_search(k), HITS), 1)
+    teams = save(near.mapInPandas(_grow_teams(shard_rows, team, k, every), TEAM), 4096)
+    own = teams.select(F.explode("hits").alias("h")).select("h.*")
+    # Centres are a row a team; a copy of each pack of them goes to every slice of the queries, so no task takes all of either. Spark takes the
+    # size of these copies for that of the packs, and that of packed trees for that of their compressed file: neither may be broadcast.
+    packs = F.pmod(F.xxhash64("team"), F.lit(max(1, -(-n // shard_rows // pack)))).cast("int")
+    roots = save(teams.select("dim", "team", "centres", "radii", packs.alias("pack")).groupBy("dim", "pack").applyInPandas(_pack_roots, "dim int, pack int, roots binary"))
+    part = F.pmod(F.xxhash64("team"), F.lit(slices)).cast("int")
+    asked = teams.where(F.col("queries").isNotNull()).groupBy("dim", part.alias("slice")).agg(F.collect_list("queries").alias("asked"))
+    dealt = roots.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    met = asked.join(dealt.hint("merge"), ["dim", "slice"]).select("dim", "slice", "asked", "roots")
+    reach = save(met.mapInPandas(_prune, "dim int, team long, slice int, queries binary"), 4)
+    blocks = reach.groupBy("dim", "team", F.floor(F.col("slice") / together).alias("part")).agg(F.collect_list("queries").alias("blocks"))
+    far = save(blocks.join(teams.select("dim", "team", "trees").hint("merge"), ["dim", "team"]).select("trees", "blocks").mapInPandas(_search(k), HITS), 1)
     out = save(best_of(own.unionByName(far), k).select("query_id", "rank", "vec_id", "score"))
-    drop_saved(placed, shards, roots, reach, far)
+    drop_saved(placed, teams, roots, reach, far)
     return out
 
 

@@ -162,6 +162,23 @@ def test_ball_tree_exact(vectors):
     assert sum(seen) < 1000  # bounds cut most of the tree
 
 
+def test_ball_tree_deals_without_the_driver(spark, monkeypatch):
+    """Nothing is broadcast, however small Spark takes a table for; several trees a team and vectors of two lengths give brute force's rows."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-9, 9, 6 if i % 3 else 4).tolist()) for i in range(1500)] + [(1500, [1 << 20] * 4), (1503, [1 << 33, 0, -5, 1])]
+    df = spark.createDataFrame([(i, v, len(v)) for i, v in rows], "vec_id long, v array<long>, dim int")
+    plans, save = [], balltree.save
+    monkeypatch.setattr(balltree, "save", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(df, *a))
+    got = defaultdict(list)
+    for r in sorted(balltree.top_k(df, every=50, shard_rows=40, team=4, pack=3).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.score, r.vec_id))
+    assert len(plans) == 6 and sum("Join" in p for p in plans) == 2 and not any("Broadcast" in p for p in plans)
+    for i, q in rows[::50]:
+        others = [(sum(a * b for a, b in zip(q, v)), j) for j, v in rows if j != i and len(v) == len(q)]
+        assert got[i] == sorted(others, key=lambda h: (-h[0], h[1]))[:10], i
+    assert set(got) == {i for i, _ in rows if i % 50 == 0}
+
+
 def test_nearest_with_many_ties(spark):
     x = np.zeros((120, 4))
     x[:, 0], x[60:, 1] = 1.0, np.arange(60) + 1  # 60 equal vectors
