@@ -177,7 +177,7 @@ def _pack_roots(pdf: pd.DataFrame) -> pd.DataFrame:
 def _prune(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For a slice of the queries and a pack of roots: the teams with a bound that reaches a query's k-th score, with those queries."""
     for pdf in frames:
-        for dim, number, blocks, roots in zip(pdf["dim"], pdf["slice"], pdf["asked"], pdf["roots"]):
+        for dim, blocks, roots in zip(pdf["dim"], pdf["asked"], pdf["roots"]):
             teams, starts, centres, radii = pickle.loads(roots)
             homes, ids, rows, floors = zip(*map(pickle.loads, blocks))
             homes, ids, rows, floors = np.repeat(homes, [len(i) for i in ids]), np.concatenate(ids), np.concatenate(rows), np.concatenate(floors)
@@ -187,17 +187,23 @@ def _prune(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             some = np.flatnonzero(sizes)
             for a, b in by_bytes((sizes[some] * rows[:1].nbytes).tolist(), 4 * SLICE_BYTES):
                 out = [pickle.dumps((ids[reach[:, j]], rows[reach[:, j]], floors[reach[:, j]]), protocol=5) for j in some[a:b]]
-                yield pd.DataFrame({"dim": dim, "team": teams[some[a:b]], "slice": number, "queries": out})
+                yield pd.DataFrame({"dim": dim, "team": teams[some[a:b]], "data": out})
 
 
 def _search(k: int):
+    """Over rows sorted by team, the trees (kind 0) of each before its blocks of queries: a tree is unpacked once."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, trees = None, []
         for pdf in frames:
-            for packed, blocks in zip(pdf["trees"], pdf["blocks"]):
-                trees = [pickle.loads(t) for t in packed]
-                for ids, rows, floors in map(pickle.loads, blocks):
-                    out = [(i, hit, s) for i, best in _search_trees(trees, ids, rows, floors, k) for s, hit in best]
-                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            for dim, team, kind, data in zip(pdf["dim"], pdf["team"], pdf["kind"], pdf["data"]):
+                if at != (dim, team):
+                    at, trees = (dim, team), []
+                if kind == 0:
+                    trees.append(pickle.loads(data))
+                    continue
+                ids, rows, floors = pickle.loads(data)
+                out = [(i, hit, s) for i, best in _search_trees(trees, ids, rows, floors, k) for s, hit in best]
+                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run
 
@@ -215,8 +221,8 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 4096
     rows: (vec_id, v array<long>, dim), as `quantised` gives them. Vectors of another length than the
     query's are no candidates. Ties go to the smaller id; fewer candidates than k are all returned; an
     empty table gives no row. Scores are exact as long as they fit in 64 bits. `team` shards are searched at once (by default
-    one up to 127 shards, then a 64th of them, up to about 32 MB); `together` blocks of queries, each of about a MB at most, meet a team at
-    once; about `pack` roots meet a slice of the queries at once.
+    one up to 127 shards, then a 64th of them, up to about 32 MB); `together` blocks of queries, each of about a MB at most, are
+    read at once; about `pack` roots meet a slice of the queries at once.
     """
     spark = rows.sparkSession
     n, asks, width = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.coalesce(F.avg("dim"), F.lit(1.0))).first()
@@ -227,19 +233,21 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 4096
     order = ["dim", "code", "fine", "vec_id"]
     placed = save(rows.select("vec_id", "v", "dim").mapInPandas(_place(bits, seed), "vec_id long, v array<long>, dim int, code long, fine double"), 4096)
     near = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("vec_id", "v", "dim")
-    teams = save(near.mapInPandas(_grow_teams(shard_rows, team, k, every), TEAM), 4096)
+    teams = save(near.mapInPandas(_grow_teams(shard_rows, team, k, every), TEAM), 4096, 4)
     own = teams.select(F.explode("hits").alias("h")).select("h.*")
     # Centres are a row a team; a copy of each pack of them goes to every slice of the queries, so no task takes all of either. Spark takes the
-    # size of these copies for that of the packs, and that of packed trees for that of their compressed file: neither may be broadcast.
+    # size of these copies for that of the packs, so they must not be broadcast.
     packs = F.pmod(F.xxhash64("team"), F.lit(max(1, -(-n // shard_rows // pack)))).cast("int")
     roots = save(teams.select("dim", "team", "centres", "radii", packs.alias("pack")).groupBy("dim", "pack").applyInPandas(_pack_roots, "dim int, pack int, roots binary"))
     part = F.pmod(F.xxhash64("team"), F.lit(slices)).cast("int")
     asked = teams.where(F.col("queries").isNotNull()).groupBy("dim", part.alias("slice")).agg(F.collect_list("queries").alias("asked"))
     dealt = roots.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    met = asked.join(dealt.hint("merge"), ["dim", "slice"]).select("dim", "slice", "asked", "roots")
-    reach = save(met.mapInPandas(_prune, "dim int, team long, slice int, queries binary"), 4)
-    blocks = reach.groupBy("dim", "team", F.floor(F.col("slice") / together).alias("part")).agg(F.collect_list("queries").alias("blocks"))
-    far = save(blocks.join(teams.select("dim", "team", "trees").hint("merge"), ["dim", "team"]).select("trees", "blocks").mapInPandas(_search(k), HITS), 1)
+    pairs = asked.join(dealt.hint("merge"), ["dim", "slice"]).select("dim", "asked", "roots")
+    reach = save(pairs.mapInPandas(_prune, "dim int, team long, data binary"), 4, together)
+    trees = teams.select("dim", "team", F.lit(0).alias("kind"), F.explode("trees").alias("data"))
+    both = trees.unionByName(reach.withColumn("kind", F.lit(1)))
+    lined = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dim", "team").sortWithinPartitions("dim", "team", "kind")
+    far = save(lined.mapInPandas(_search(k), HITS), 1)
     out = save(best_of(own.unionByName(far), k).select("query_id", "rank", "vec_id", "score"))
     drop_saved(placed, teams, roots, reach, far)
     return out
