@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import save, scratch_dir
+from .shared import drop_saved, save, scratch_dir
 
 # The alphabet of RFC 4648 base32.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -26,15 +26,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 RECORD = "record_id string, page_id long, uri string, record_type string, payload_digest string, payload_bytes long, refers_to_id string, payload binary"
 
 
-def base32_sha1(col: Column) -> Column:
-    """Upper-case base32 of a SHA-1, without Python: 5 hex digits at a time make 4 letters."""
-    hex_digits = F.sha1(col)
-    letters = []
-    for part in range(8):
-        number = F.conv(F.substring(hex_digits, 5 * part + 1, 5), 16, 10).cast("int")
-        for shift in (15, 10, 5, 0):
-            letters.append(F.substring(F.lit(BASE32), F.shiftright(number, shift).bitwiseAND(31) + 1, F.lit(1)))
-    return F.concat(*letters)
+def base32(hex_digits: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex, without Python: 10 hex digits at a time are 8 digits to base 32."""
+    groups = [F.lpad(F.conv(F.substring(hex_digits, 10 * part + 1, 10), 16, 32), 8, "0") for part in range(4)]
+    return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -64,9 +59,12 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", key: str
     clean = F.regexp_replace(F.coalesce(F.col(uri), F.lit("")), r"[\r\n]", " ")
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), clean.alias("uri"), body.alias("body"))
-    digest = base32_sha1(F.col("body"))
-    keyed = rows.withColumns({"payload_digest": digest, "payload_bytes": F.octet_length("body").cast("long")})
-    headers = save(resolve_revisits(keyed.select("page_id", "uri", "payload_digest", "payload_bytes"), min_bytes))
+    # Joined by the hex digits: base32 can be null to Spark, which would then filter by it, with a SHA-1 for each of its parts.
+    keyed = rows.withColumns({"sha": F.sha1("body"), "payload_bytes": F.octet_length("body").cast("long")})
+    sums = save(keyed.select("page_id", "uri", F.col("sha").alias("payload_digest"), "payload_bytes"))
+    resolved = resolve_revisits(sums, min_bytes).withColumnRenamed("payload_digest", "sha")
+    headers = save(resolved.withColumn("payload_digest", base32(F.col("sha"))))
+    drop_saved(sums)
     revisit = headers.where("record_type = 'revisit'")
     mean = headers.agg(F.avg("payload_bytes")).first()[0] or 0
     records = max(1, int(file_bytes // (mean + 500)))
@@ -84,8 +82,8 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", key: str
         )
 
     # A response is known without its payload's neighbours: its page is the largest of its digest.
-    whole = headers.where("record_type = 'response'").select("page_id", "uri", "payload_digest").distinct()
-    responses = keyed.join(whole.select(F.col("page_id").alias("p"), F.col("uri").alias("u"), F.col("payload_digest").alias("d")), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("uri") == F.col("u")) & (F.col("payload_digest") == F.col("d")), "left_semi")
+    whole = headers.where("record_type = 'response'").select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "payload_digest").distinct()
+    responses = keyed.join(whole, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")))
     full = responses.select(record("response", F.length(http) + F.col("payload_bytes"), F.lit(""), F.concat(http, F.col("body"))).alias("value"))
     refers = F.concat(line("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("payload_digest"))), line("WARC-Refers-To-Target-URI", F.coalesce("refers_to_uri", F.lit(""))), line("WARC-Refers-To-Date", F.lit(date)), line("WARC-Profile", F.lit(REVISIT_PROFILE)))
     bare = revisit.select(record("revisit", F.lit(0), refers, F.lit("")).alias("value"))

@@ -1,5 +1,6 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and on odd tables."""
 
+import base64
 import gzip
 import hashlib
 import zlib
@@ -340,6 +341,29 @@ def test_warc_round_trip(spark):
     assert gzip.decompress(gzip.compress(b"x")) == b"x"
 
 
+def test_warc_hashes_a_payload_once_a_pass(spark, monkeypatch):
+    rows = [(i, f"u{i}", f"page {i // 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    hashed, save = [], warc.save
+
+    def note(frame):
+        hashed.append(frame._jdf.queryExecution().optimizedPlan().toString().count("sha1("))
+        return frame
+
+    union = type(df).unionByName
+    monkeypatch.setattr(type(df), "unionByName", lambda one, other: note(union(one, other)))
+    monkeypatch.setattr(warc, "save", lambda frame, *options: save(note(frame), *options))
+    got = warc.round_trip(df).collect()
+    assert {r.page_id: r.payload_digest for r in got} == {i: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for i, _, h in rows}
+    assert max(hashed) == 1 and sum(hashed) == 2
+
+
+def test_base32_of_hex(spark):
+    digests = ["00" * 20, "ff" * 20, "0000000001" * 4, "00000000ff" * 2 + "8000000000" * 2] + [hashlib.sha1(bytes([i])).hexdigest() for i in range(256)]
+    got = spark.createDataFrame([(d,) for d in digests], "h string").select("h", warc.base32(F.col("h")).alias("b")).collect()
+    assert all(r.b == base64.b32encode(bytes.fromhex(r.h)).decode() for r in got) and len(got) == len(digests)
+
+
 # -- op 7
 
 def test_language(spark, odd, none):
